@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from commitlens.llm import mixture
+from commitlens.llm import licensescan, mixture, secretscan
 
-QUERIES = {"op1_mixture": mixture.op1}
+QUERIES = {"op1_mixture": mixture.op1, "op6_license_scan": licensescan.op6, "op10_secret_scan": secretscan.op10}
 ORACLE_SQL = {"op1_mixture": mixture.OP1_SQL}
