@@ -2,7 +2,12 @@
 
 from __future__ import annotations
 
-from commitlens.llm import licensescan, mixture, secretscan
+from commitlens.llm import jaccardjoin, licensescan, mixture, secretscan
 
-QUERIES = {"op1_mixture": mixture.op1, "op6_license_scan": licensescan.op6, "op10_secret_scan": secretscan.op10}
-ORACLE_SQL = {"op1_mixture": mixture.OP1_SQL}
+QUERIES = {
+    "op1_mixture": mixture.op1,
+    "op2_jaccard_join": jaccardjoin.op2,
+    "op6_license_scan": licensescan.op6,
+    "op10_secret_scan": secretscan.op10,
+}
+ORACLE_SQL = {"op1_mixture": mixture.OP1_SQL, "op2_jaccard_join": jaccardjoin.OP2_SQL}
