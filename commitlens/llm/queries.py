@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from commitlens.llm import jaccardjoin, licensescan, mixture, secretscan
+from commitlens.llm import jaccardjoin, langid, licensescan, mixture, secretscan, toxicity
 
 QUERIES = {
     "op1_mixture": mixture.op1,
     "op2_jaccard_join": jaccardjoin.op2,
+    "op3_toxicity": toxicity.op3,
     "op6_license_scan": licensescan.op6,
+    "op7_language_id": langid.op7,
     "op10_secret_scan": secretscan.op10,
 }
 ORACLE_SQL = {"op1_mixture": mixture.OP1_SQL, "op2_jaccard_join": jaccardjoin.OP2_SQL}
