@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from commitlens.llm import decontaminate, jaccardjoin, langid, licensescan, mixture, secretscan, toxicity
+from commitlens.llm import decontaminate, jaccardjoin, langid, licensescan, mixture, pii, secretscan, toxicity
 
 QUERIES = {
     "op1_mixture": mixture.op1,
@@ -10,6 +10,7 @@ QUERIES = {
     "op3_toxicity": toxicity.op3,
     "op6_license_scan": licensescan.op6,
     "op7_language_id": langid.op7,
+    "op8_pii": pii.op8,
     "op9_decontaminate": decontaminate.op9,
     "op10_secret_scan": secretscan.op10,
 }
