@@ -12,18 +12,22 @@ integers; no link between different sets is lost:
    only keep more classes), in packed form: blobs of hashes by hash range,
    combined before the shuffle, so a feature of all documents is one entry a
    step.
+   What is left is peeled: only sets that are left, and of sizes that could
+   link, count as those other classes.
 2. *PartEnum.* Sizes fall into bands such that linked sets are in the same or
    in neighbouring bands; a set signs for its band and the next one. In a band
    with sizes up to r, linked sets differ in at most k = 2r/7 features. The
-   domain is cut into n1 parts, and each into n2 second-level parts: in one of
-   the n1 parts at most k2 features differ, so on some n2 - k2 of its
+   domain is cut into n1 parts, and each into N2 second-level parts: in one of
+   the n1 parts at most K2 features differ, so on some N2 - K2 of its
    second-level parts the two sets are equal. Each such subset's content is a
-   signature, and linked sets share one.
+   signature, and linked sets share one. Spare parts make it safe to leave out
+   signatures of empty content, which sets that have nothing in common share.
 3. *Candidates, without all pairs.* Sets that share a signature are a run. A
-   run of one component needs no more work. In other runs a few pivots are
-   held against the members of other components, verified, and leave the run;
-   the groups that this joins end most runs. This goes on until no run is
-   left, so what remains unlinked has been held against each other in full.
+   run of one component needs no more work. In other runs first one member,
+   then a few, then some more are held against the members of other components
+   and verified; the groups that this joins end most runs. At last what is left
+   of a run, members outside its main component, is held against all others, so
+   no pair that shares a signature stays unlinked without having been compared.
    Before verification an exact bound goes over parity sketches: the
    population count of their difference is at most the number of features
    that differ.
@@ -55,9 +59,15 @@ NUM, DEN = 3, 4
 COUNTED = 26_000
 #: Entries that one hash range is meant to hold.
 RANGE_ENTRIES = 1_000_000
+LEAST_RANGES = 64
+#: Rows of (doc_id, digest) that are sent to every executor; more are joined by a shuffle of the texts.
+BROADCAST_ROWS = 500_000
+#: Differences that a first-level part may have, and its second-level parts.
+K2, N2 = 1, 3
 #: Words of a parity sketch.
 SKETCH = 16
-PIVOTS = 6
+#: Members of a run that are held against its others in the rounds before the last.
+TURNS = (1, 8, 32)
 
 
 def _domain(features: np.ndarray) -> np.ndarray:
@@ -113,6 +123,48 @@ def _unpacked(table: pa.Table, *kinds) -> list[np.ndarray]:
     return [np.concatenate(p) if p else np.zeros(0, k) for p, k in zip(parts, kinds, strict=True)]
 
 
+def _combined(features: np.ndarray, name: np.ndarray, ranges: int) -> pa.RecordBatch:
+    """Blobs of features and whose they are, by range. A feature of several names is one entry, named 0, and is counted for its names here."""
+    what = features >> np.uint64(16)
+    order = np.lexsort((name, what))
+    what, name = what[order], name[order]
+    first = np.concatenate(([True], what[1:] != what[:-1])) if len(what) else np.zeros(0, bool)
+    size = np.diff(np.append(np.flatnonzero(first), len(what)))
+    many = np.repeat(size > 1, size)
+    known, count = np.unique(name[many], return_counts=True)
+    name = np.where(many, np.uint64(0), name)
+    what, name = what[first | ~many], name[first | ~many]
+    bucket = np.concatenate((what % np.uint64(ranges), textkit.mix(known) % np.uint64(ranges))).astype(np.int32)
+    # Counts go with the ranges, as entries without a feature.
+    is_count = np.concatenate((np.zeros(len(what), np.uint8), np.ones(len(known), np.uint8)))
+    what, name = np.concatenate((what, count.astype(np.uint64))), np.concatenate((name, known))
+    order = np.argsort(name, kind="stable")
+    return _packed(bucket[order], *_narrow(what[order]), name[order], is_count[order])
+
+
+def _met(table: pa.Table) -> pa.Table:
+    """Short, shared: for every name how many of its features have another name beside it."""
+    low, high, name, is_count = _unpacked(table, np.uint32, np.uint16, np.uint64, np.uint8)
+    what = low.astype(np.uint64) | high.astype(np.uint64) << np.uint64(32)
+    said = is_count == 1
+    names, counts = [name[said]], [what[said].astype(np.int64)]
+    what, name = what[~said], name[~said]
+    order = np.lexsort((name, what))
+    what, name = what[order], name[order]
+    if len(what):
+        new = np.concatenate(([True], (what[1:] != what[:-1]) | (name[1:] != name[:-1])))
+        # One step's "several" (name 0) counts for any class beside it, also where it is there once.
+        first = np.flatnonzero(np.concatenate(([True], what[1:] != what[:-1])))
+        size = np.diff(np.append(first, len(what)))
+        differ = np.repeat(np.maximum.reduceat(name, first) != np.minimum.reduceat(name, first), size)
+        credited = name[differ & new & (name != 0)]
+        names.append(credited)
+        counts.append(np.ones(len(credited), np.int64))
+    uniq, inverse = np.unique(np.concatenate(names), return_inverse=True)
+    total = np.bincount(inverse, np.concatenate(counts), len(uniq)).astype(np.int64)
+    return pa.table({"short": uniq.astype(np.int64), "shared": total})
+
+
 def shared_features(docs: DataFrame, ranges: int, words: int = WORDS) -> DataFrame:
     """short (of a class), shared: how many counted features of a class occur in another one; at least that many where copies repeat."""
 
@@ -126,50 +178,11 @@ def shared_features(docs: DataFrame, ranges: int, words: int = WORDS) -> DataFra
                     own.setdefault(_short(hashlib.blake2b(s.tobytes(), digest_size=16).digest()), _domain(s))
             if not own:
                 continue
-            names = np.array([0, *own], np.uint64)
-            what = np.concatenate(list(own.values())) >> np.uint64(16)
-            who = np.repeat(np.arange(1, len(names), dtype=np.uint32), [len(s) for s in own.values()])
-            order = np.argsort(what, kind="stable")
-            what, who = what[order], who[order]
-            first = np.concatenate(([True], what[1:] != what[:-1])) if len(what) else np.zeros(0, bool)
-            size = np.diff(np.append(np.flatnonzero(first), len(what)))
-            many = np.repeat(size > 1, size)
-            known = np.bincount(who[many], minlength=len(names))
-            keep = first | ~many
-            who[many] = 0
-            what, who = what[keep], who[keep]
-            # Known ones go with the ranges, as entries without a feature.
-            got = np.flatnonzero(known)
-            what = np.concatenate((what, known[got].astype(np.uint64)))
-            name = np.concatenate((names[who], names[got]))
-            is_count = np.concatenate((np.zeros(len(who), np.uint8), np.ones(len(got), np.uint8)))
-            bucket = np.concatenate(((what[: len(who)] % np.uint64(ranges)), (textkit.mix(names[got]) % np.uint64(ranges)))).astype(np.int32)
-            order = np.argsort(name, kind="stable")
-            yield _packed(bucket[order], *_narrow(what[order]), name[order], is_count[order])
-
-    def meet(table: pa.Table) -> pa.Table:
-        low, high, name, is_count = _unpacked(table, np.uint32, np.uint16, np.uint64, np.uint8)
-        what = low.astype(np.uint64) | high.astype(np.uint64) << np.uint64(32)
-        said = is_count == 1
-        names, counts = [name[said]], [what[said].astype(np.int64)]
-        what, name = what[~said], name[~said]
-        order = np.lexsort((name, what))
-        what, name = what[order], name[order]
-        if len(what):
-            new = np.concatenate(([True], (what[1:] != what[:-1]) | (name[1:] != name[:-1])))
-            # One step's "several" (name 0) counts for any class beside it, also where it is there once.
-            first = np.flatnonzero(np.concatenate(([True], what[1:] != what[:-1])))
-            size = np.diff(np.append(first, len(what)))
-            differ = np.repeat(np.maximum.reduceat(name, first) != np.minimum.reduceat(name, first), size)
-            credited = name[differ & new & (name != 0)]
-            names.append(credited)
-            counts.append(np.ones(len(credited), np.int64))
-        uniq, inverse = np.unique(np.concatenate(names), return_inverse=True)
-        total = np.bincount(inverse, np.concatenate(counts), len(uniq)).astype(np.int64)
-        return pa.table({"short": uniq.astype(np.int64), "shared": total})
+            name = np.repeat(np.array(list(own), np.uint64), [len(x) for x in own.values()])
+            yield _combined(np.concatenate(list(own.values())), name, ranges)
 
     blobs = docs.select("text").mapInArrow(step, "bucket int, blob binary")
-    met = blobs.groupBy("bucket").applyInArrow(meet, "short long, shared long")
+    met = blobs.groupBy("bucket").applyInArrow(_met, "short long, shared long")
     return met.groupBy("short").agg(F.sum("shared").alias("shared"))
 
 
@@ -177,56 +190,97 @@ def _narrow(what: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return (what & np.uint64(0xFFFFFFFF)).astype(np.uint32), (what >> np.uint64(32)).astype(np.uint16)
 
 
-def band_tops(most: int) -> list[int]:
-    """The largest size of each band: a set in band i links only within bands i - 1, i and i + 1."""
-    tops = [0]
-    while tops[-1] < most:
-        tops.append(max(tops[-1] + 1, (tops[-1] + 1) * DEN // NUM))
-    return tops
+def band_top(band: int) -> int:
+    """The largest size in a band: a set in band i links only within bands i - 1, i and i + 1."""
+    top = 0
+    for _ in range(band):
+        top = max(top + 1, (top + 1) * DEN // NUM)
+    return top
+
+
+def bands_of(size: int) -> list[int]:
+    """The bands that a set signs for: its own and the next, but for those whose sets must be equal to link."""
+    band = 0
+    while band_top(band) < size:
+        band += 1
+    return [x for x in (band, band + 1) if 2 * band_top(x) * (DEN - NUM) // (DEN + NUM)]
+
 
+def part_enum(features: np.ndarray, band: int) -> np.ndarray:
+    """Signatures of a set for a band.
 
-def part_enum(features: np.ndarray, band: int, top: int) -> np.ndarray:
-    """Signatures of a set for a band with sizes up to ``top``."""
-    k = 2 * top * (DEN - NUM) // (DEN + NUM)
-    if not k:
-        return textkit.mix(features.sum(dtype=np.uint64)[None] + np.uint64(band))
-    k2, n2 = 1, 3
-    n1 = -(-(k + 1) // (k2 + 1))
+    Of n1 = k // (K2 + 1) + 1 + spare first-level parts at least 1 + spare have K2 differences at most.
+    A signature is of K2 differing second-level parts left out; one of only empty parts says nothing and
+    is left out as well, if no more than ``spare`` parts have one: then some part with a telling signature
+    is left for every partner. A set with more such parts signs with all, as its partners of that kind do.
+    """
+    k = 2 * band_top(band) * (DEN - NUM) // (DEN + NUM)
+    n1 = k // (K2 + 1) + 1
+    spare = -(-n1 // 7)
+    n1 += spare
     place = textkit.mix(features ^ np.uint64(0x5151 + band))
-    part = (place >> np.uint64(40)).astype(np.int64) % n1 * n2 + (place & np.uint64(0xFFFFF)).astype(np.int64) % n2
-    sums = np.zeros(n1 * n2, np.uint64)
+    part = (place >> np.uint64(40)).astype(np.int64) % n1 * N2 + (place & np.uint64(0xFFFFF)).astype(np.int64) % N2
+    sums = np.zeros(n1 * N2, np.uint64)
     np.add.at(sums, part, place)
-    sums = textkit.mix(sums).reshape(n1, n2)
+    sums = sums.reshape(n1, N2)
+    empty = sums == 0
+    every = (empty.sum(1) >= N2 - K2).sum() > spare
+    sums = textkit.mix(sums)
     out = []
-    for c, subset in enumerate(combinations(range(n2), n2 - k2)):
+    for c, subset in enumerate(combinations(range(N2), N2 - K2)):
         acc = np.full(n1, np.uint64(band * 64 + c + 1)) + np.arange(n1, dtype=np.uint64) * textkit.GOLD
         for x in subset:
             acc = textkit.mix(acc ^ sums[:, x])
-        out.append(acc)
+        out.append(acc if every else acc[~empty[:, list(subset)].all(1)])
     return np.concatenate(out)
 
 
+def peeled(sets: DataFrame, ranges: int, part: int = 1 << 16) -> DataFrame:
+    """``sets`` without the bands in which a set can't have a link: those where more than a quarter of
+    its features occur in no other set that signs for the band. ``part``: how much of the domain is looked at."""
+
+    def step(batches):
+        for b in batches:
+            for i in range(0, b.num_rows, 500):
+                yield from one(b.slice(i, 500))
+
+    def one(b):
+        whats, names = [], []
+        for rep, own, bands in zip(b.column(0).to_pylist(), b.column(1), b.column(2).to_pylist(), strict=True):
+            own = own.values.to_numpy(zero_copy_only=False).view(np.uint64)
+            own = own[(own & np.uint64(0xFFFF)) < np.uint64(part)]
+            for band in bands:
+                whats.append(textkit.mix(own ^ np.uint64(0xB0 + band)))
+                names.append(np.full(len(own), (rep + 1) << 8 | band, np.int64))
+        if whats:
+            yield _combined(np.concatenate(whats), np.concatenate(names).view(np.uint64), ranges)
+
+    blobs = sets.select("rep", "features", "bands").mapInArrow(step, "bucket int, blob binary")
+    met = blobs.groupBy("bucket").applyInArrow(_met, "short long, shared long").groupBy("short").agg(F.sum("shared").alias("shared"))
+    met = met.select((F.shiftright("short", 8) - 1).alias("rep"), F.col("short").bitwiseAND(255).cast("int").alias("band"), "shared")
+    looked = F.size("features") if part == 1 << 16 else F.size(F.filter("features", lambda x: x.bitwiseAND(0xFFFF) < part))
+    own = sets.select("rep", F.size("features").alias("n"), looked.alias("looked"))
+    alive = met.join(own, "rep").where((F.col("looked") - F.col("shared")) * DEN <= F.col("n") * (DEN - NUM))
+    alive = alive.groupBy("rep").agg(F.sort_array(F.collect_set("band")).alias("bands"))
+    return sets.drop("bands").join(alive, "rep").select("rep", "features", "sketch", "bands")
+
+
 def runs(sets: DataFrame, ranges: int) -> DataFrame:
     """sig, rep: signatures that several sets share."""
 
     def step(batches):
+        sigs, who = [], []
         for b in batches:
-            reps, lists = b.column(0).to_numpy(zero_copy_only=False), b.column(1)
-            values, offs = lists.values.to_numpy(zero_copy_only=False).view(np.uint64), lists.offsets.to_numpy()
-            sigs, who = [], []
-            for i in range(b.num_rows):
-                own = values[offs[i] : offs[i + 1]]
-                tops = band_tops(len(own))
-                for band in (len(tops) - 1, len(tops)):
-                    top = tops[band] if band < len(tops) else max(tops[-1] + 1, (tops[-1] + 1) * DEN // NUM)
-                    if 2 * top * (DEN - NUM) // (DEN + NUM):
-                        sigs.append(part_enum(own, band, top))
-                        who.append(np.full(len(sigs[-1]), reps[i], np.int64))
+            for rep, own, bands in zip(b.column(0).to_pylist(), b.column(1), b.column(2).to_pylist(), strict=True):
+                own = own.values.to_numpy(zero_copy_only=False).view(np.uint64)
+                for band in bands:
+                    sigs.append(part_enum(own, band))
+                    who.append(np.full(len(sigs[-1]), rep, np.int64))
                 if sum(map(len, sigs)) > 2_000_000:
                     yield pack(sigs, who)
                     sigs, who = [], []
-            if sigs:
-                yield pack(sigs, who)
+        if sigs:
+            yield pack(sigs, who)
 
     def pack(sigs, who):
         sig, name = np.concatenate(sigs), np.concatenate(who)
@@ -245,12 +299,12 @@ def runs(sets: DataFrame, ranges: int) -> DataFrame:
             sig, who = sig[several], who[several]
         return pa.table({"sig": sig.astype(np.int64), "rep": who})
 
-    blobs = sets.select("rep", "features").mapInArrow(step, "bucket int, blob binary")
+    blobs = sets.select("rep", "features", "bands").mapInArrow(step, "bucket int, blob binary")
     return blobs.groupBy("bucket").applyInArrow(meet, "sig long, rep long")
 
 
 def feature_sets(docs: DataFrame, words: int = WORDS) -> DataFrame:
-    """rep, features (sorted), sketch, of documents (rep, text, class); rows whose set has another digest are dropped."""
+    """rep, features (sorted), sketch, bands, of documents (rep, text, class); rows whose set has another digest are dropped."""
 
     def step(batches):
         for b in textkit.slices(batches):
@@ -270,60 +324,65 @@ def feature_sets(docs: DataFrame, words: int = WORDS) -> DataFrame:
                     reps,
                     pa.ListArray.from_arrays(pa.array(at), pa.array(flat)),
                     pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1, dtype=np.int32) * SKETCH), pa.array(sketches.reshape(-1).view(np.int64))),
+                    pa.array([bands_of(len(s)) for s in sets], pa.list_(pa.int32())),
                 ],
-                names=["rep", "features", "sketch"],
+                names=["rep", "features", "sketch", "bands"],
             )
 
-    return docs.select("rep", "text", "class").mapInArrow(step, "rep long, features array<long>, sketch array<long>")
+    return docs.select("rep", "text", "class").mapInArrow(step, "rep long, features array<long>, sketch array<long>, bands array<int>")
 
 
 def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """Of candidate pairs a, b those that link. The bound on sketches goes first, so few sets move."""
+    """Of candidate pairs a, b, with the components ca, cb, those that link. The bound on sketches goes first, so few sets move."""
     slim = sets.select("rep", F.size("features").alias("n"), "sketch")
     near = pairs.join(slim.toDF("a", "na", "sa"), "a").join(slim.toDF("b", "nb", "sb"), "b")
     differ = F.aggregate(F.zip_with("sa", "sb", lambda x, y: F.bit_count(x.bitwiseXOR(y)).cast("int")), F.lit(0), lambda s, x: s + x)
     near = near.where(F.least("na", "nb") * DEN >= F.greatest("na", "nb") * NUM)
-    near = near.where(differ * (DEN + NUM) <= (F.col("na") + F.col("nb")) * (DEN - NUM)).select("a", "b")
+    near = near.where(differ * (DEN + NUM) <= (F.col("na") + F.col("nb")) * (DEN - NUM)).select("a", "b", "ca", "cb")
     full = sets.select("rep", "features")
     both = near.join(full.toDF("a", "fa"), "a").join(full.toDF("b", "fb"), "b")
     same = F.size(F.array_intersect("fa", "fb"))
-    return both.where(same * DEN >= (F.size("fa") + F.size("fb") - same) * NUM).select("a", "b")
+    return both.where(same * DEN >= (F.size("fa") + F.size("fb") - same) * NUM).select("a", "b", "ca", "cb")
+
 
+def linked_components(run: DataFrame, sets: DataFrame) -> DataFrame | None:
+    """node, component of the sets that link with others; None if none does.
 
-def linked_components(run: DataFrame, sets: DataFrame) -> DataFrame:
-    """node, component of all sets that share a run; those without links are their own."""
+    A run's members take turns, those with most company in all runs first. In
+    round i the members up to turn ``TURNS[i]`` are held against the members
+    of other components with a later turn; in the last round all that is left,
+    which is pairs with a member outside the first one's component.
+    """
     weight = run.groupBy("sig").agg((F.count("*") - 1).alias("others"))
     central = run.join(weight, "sig").groupBy("rep").agg(F.sum("others").alias("central"))
-    state = cut(run.join(central, "rep").select("sig", "rep", "central", F.col("rep").alias("component")))
-    links = tested = None
+    turn = F.row_number().over(W.partitionBy("sig").orderBy(F.col("central").desc(), F.col("rep")))
+    state = cut(run.join(central, "rep").select("sig", "rep", turn.alias("turn"), F.col("rep").alias("component")))
     labels = None
-    while True:
-        mixed = state.groupBy("sig").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("sig")
-        state = state.join(mixed, "sig", "left_semi")
-        if links is None:
-            order = [F.col("central").desc(), F.col("rep")]
+    for past, upto in zip((0, *TURNS), (*TURNS, None), strict=True):
+        mixed = state.groupBy("sig").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.min(F.when(F.col("turn") == 1, F.col("component"))).alias("main"))
+        state = state.drop("main").join(mixed.where("lo <> hi").select("sig", "main"), "sig")
+        if upto:
+            some = state.where(F.col("turn").between(past + 1, upto))
         else:
-            own = state.groupBy("sig", "component").agg(F.count("*").alias("peers"))
-            state = state.join(own, ["sig", "component"])
-            order = [F.col("peers"), F.col("central").desc(), F.col("rep")]
-        state = state.withColumn("turn", F.row_number().over(W.partitionBy("sig").orderBy(*order)))
-        state = cut(state.select("sig", "rep", "central", "component", (F.col("turn") <= (1 if links is None else PIVOTS)).alias("pivot")))
-        if not state.limit(1).count():
-            break
-        pivots = state.where("pivot").select("sig", F.col("rep").alias("p"), F.col("component").alias("pc"))
-        pairs = pivots.join(state, "sig").where("pc <> component").select(F.least("p", "rep").alias("a"), F.greatest("p", "rep").alias("b")).distinct()
-        if tested is not None:
-            pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        pairs = cut(pairs)
-        tested = pairs if tested is None else tested.union(pairs)
-        found = cut(verified(pairs, sets))
-        links = found if links is None else links.union(found)
-        state = state.where("not pivot").drop("pivot")
+            some = state.where((F.col("turn") > past) & (F.col("component") != F.col("main")))
+        some = some.select("sig", F.col("rep").alias("p"), F.col("component").alias("pc"))
+        pairs = some.join(state.where(F.col("turn") > past), "sig").where("pc <> component")
+        pairs = pairs.groupBy(F.least("p", "rep").alias("a"), F.greatest("p", "rep").alias("b")).agg(
+            F.min(F.least("pc", "component")).alias("ca"), F.max(F.greatest("pc", "component")).alias("cb")
+        )
+        found = cut(verified(pairs.select("a", "b", "ca", "cb"), sets))
         if found.limit(1).count():
-            labels = components(links)
-            state = state.drop("component").join(labels.select(F.col("node").alias("rep"), "component"), "rep", "left")
-            state = state.withColumn("component", F.coalesce("component", "rep"))
-        state = cut(state.select("sig", "rep", "central", "component"))
+            joined = components(found.select(F.col("ca").alias("a"), F.col("cb").alias("b")))
+            moved = joined.select(F.col("node").alias("component"), F.col("component").alias("to"))
+            own = found.select(F.col("a").alias("node"), "ca", "cb").union(found.select("b", "ca", "cb"))
+            if labels is None:
+                labels = joined
+            else:
+                more = own.select("node", F.col("node").alias("component")).distinct().join(labels, "node", "left_anti")
+                labels = labels.union(more).join(moved, "component", "left").select("node", F.coalesce("to", "component").alias("component"))
+            labels = cut(labels)
+            state = state.join(moved, "component", "left").select("sig", "rep", "turn", F.coalesce("to", "component").alias("component"), "main")
+        state = cut(state)
     return labels
 
 
@@ -332,7 +391,7 @@ def groups(docs: DataFrame, words: int = WORDS) -> DataFrame:
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     every = cut(classes(docs, words))
     total = every.agg(F.sum("counted").alias("n")).first()["n"] or 0
-    ranges = max(256, total // RANGE_ENTRIES)
+    ranges = max(LEAST_RANGES, total // RANGE_ENTRIES)
     one = every.where("class is not null and doc_id is not null").groupBy("class").agg(
         F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("counted").alias("counted")
     )
@@ -340,9 +399,13 @@ def groups(docs: DataFrame, words: int = WORDS) -> DataFrame:
     shared = shared_features(docs, ranges, words)
     left = one.join(shared, "short").where((F.col("counted") - F.col("shared")) * DEN <= F.col("n") * (DEN - NUM)).select("rep", "class")
     left = cut(left)
-    sets = cut(feature_sets(left.join(docs, left["rep"] == docs["doc_id"]).select("rep", "text", "class"), words).dropDuplicates(["rep"]))
+    few = F.broadcast(left) if left.count() <= BROADCAST_ROWS else left
+    sets = cut(feature_sets(docs.join(few, few["rep"] == docs["doc_id"]).select("rep", "text", "class"), words).dropDuplicates(["rep"]))
+    for part in (COUNTED, 1 << 16, 1 << 16):
+        n = sets.agg(F.sum(F.size("features")).alias("n")).first()["n"] or 0
+        sets = cut(peeled(sets, max(LEAST_RANGES, 2 * n // RANGE_ENTRIES), part))
     n = sets.agg(F.sum(F.size("features")).alias("n")).first()["n"] or 0
-    run = cut(runs(sets, max(256, 3 * n // RANGE_ENTRIES)))
+    run = cut(runs(sets, max(LEAST_RANGES, 3 * n // RANGE_ENTRIES)))
     labels = linked_components(run, sets)
     member = every.join(one.select("class", "rep"), "class", "left")
     if labels is not None:
