@@ -40,8 +40,8 @@ from pyspark.sql import functions as F
 from commitlens.llm import textkit
 
 #: Bound on the sample, of each class.
-SAMPLE = 2000
-LANDMARKS = 384
+SAMPLE = 1500
+LANDMARKS = 256
 SLOTS = 1 << 17
 DECAY = 0.7
 #: Distances of the second and third character of a triple from its first.
@@ -198,7 +198,7 @@ def train(texts, y: np.ndarray, landmarks: int = LANDMARKS) -> dict:
     # Negatives: the words of unmarked documents, the most frequent and an even choice of the rest.
     seen = np.flatnonzero(in_neg > 0)
     negatives = seen[np.argsort(-in_neg[seen], kind="stable")]
-    negatives = np.concatenate((negatives[:6000], negatives[6000 :: max(1, (len(negatives) - 6000) // 6000)] if len(negatives) > 6000 else negatives[:0]))
+    negatives = np.concatenate((negatives[:4000], negatives[4000 :: max(1, (len(negatives) - 4000) // 4000)] if len(negatives) > 4000 else negatives[:0]))
     # Only words that unmarked documents don't hold more can be what made a document toxic.
     mine = [h[odds[h] > 0] for h, one in zip(held, y, strict=True) if one == 1]
     mine = [h[np.argsort(-lead[h], kind="stable")[:OPTIONS]] for h in mine if len(h)]
@@ -273,7 +273,7 @@ def train(texts, y: np.ndarray, landmarks: int = LANDMARKS) -> dict:
             if np.abs(move).max() < 1e-6:
                 break
         score = described @ theta[:-1]
-    weights = dense.T.astype(np.float64) @ (white @ theta[:-1])
+    weights = (dense.T @ (white @ theta[:-1]).astype(np.float32)).astype(np.float64)
     model = {"weights": weights, "bias": float(theta[-1]), "slope": 1.0, "intercept": 0.0}
     best = np.concatenate([best_margins(col.slice(i, 200), model) for i in range(0, len(col), 200)])
     # Platt's curve over the sample's documents.
