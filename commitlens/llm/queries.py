@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from commitlens.llm import decontaminate, jaccardjoin, langid, licensescan, mixture, pii, secretscan, substrings, toxicity
+from commitlens.llm import decontaminate, jaccardjoin, langid, licensescan, mediachunks, mixture, pii, secretscan, substrings, toxicity
 
 QUERIES = {
     "op1_mixture": mixture.op1,
     "op2_jaccard_join": jaccardjoin.op2,
     "op3_toxicity": toxicity.op3,
     "op4_substring_dedup": substrings.op4,
+    "op5_media_chunks": mediachunks.op5,
     "op6_license_scan": licensescan.op6,
     "op7_language_id": langid.op7,
     "op8_pii": pii.op8,
