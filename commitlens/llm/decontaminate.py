@@ -30,6 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from commitlens.llm import textkit
+from commitlens.llm.shared import without
 
 N = 4
 RARE = 3
@@ -202,8 +203,7 @@ def _matcher(block: Block, schema: str):
 
 def keep_clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of ``docs``, all columns, without those in which an item was found."""
-    found = find(docs, benchmark).select("doc_id").where("doc_id is not null").distinct()
-    return docs.join(found, "doc_id", "left_anti").select(*docs.columns)
+    return without(docs, find(docs, benchmark).select("doc_id"))
 
 
 def op9(spark, sf_dir: str) -> DataFrame:

@@ -50,7 +50,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from commitlens.llm import textkit
-from commitlens.llm.shared import components, cut
+from commitlens.llm.shared import BROADCAST_ROWS, components, cut, without
 
 WORDS = 5
 #: Linked: DEN * intersection >= NUM * union.
@@ -60,14 +60,12 @@ COUNTED = 26_000
 #: Entries that one hash range is meant to hold.
 RANGE_ENTRIES = 1_000_000
 LEAST_RANGES = 64
-#: Rows of (doc_id, digest) that are sent to every executor; more are joined by a shuffle of the texts.
-BROADCAST_ROWS = 500_000
 #: Differences that a first-level part may have, and its second-level parts.
 K2, N2 = 1, 3
 #: Words of a parity sketch.
 SKETCH = 16
 #: Members of a run that are held against its others in the rounds before the last.
-TURNS = (1, 8, 32)
+TURNS = (1, 12)
 
 
 def _domain(features: np.ndarray) -> np.ndarray:
@@ -236,8 +234,8 @@ def part_enum(features: np.ndarray, band: int) -> np.ndarray:
 
 
 def peeled(sets: DataFrame, ranges: int, part: int = 1 << 16) -> DataFrame:
-    """``sets`` without the bands in which a set can't have a link: those where more than a quarter of
-    its features occur in no other set that signs for the band. ``part``: how much of the domain is looked at."""
+    """rep, bands: of ``sets`` those, and the bands, for which at most a quarter of a set's features occur in
+    no other set that signs for the band; for others a set has no link. ``part``: how much of the domain is looked at."""
 
     def step(batches):
         for b in batches:
@@ -261,12 +259,11 @@ def peeled(sets: DataFrame, ranges: int, part: int = 1 << 16) -> DataFrame:
     looked = F.size("features") if part == 1 << 16 else F.size(F.filter("features", lambda x: x.bitwiseAND(0xFFFF) < part))
     own = sets.select("rep", F.size("features").alias("n"), looked.alias("looked"))
     alive = met.join(own, "rep").where((F.col("looked") - F.col("shared")) * DEN <= F.col("n") * (DEN - NUM))
-    alive = alive.groupBy("rep").agg(F.sort_array(F.collect_set("band")).alias("bands"))
-    return sets.drop("bands").join(alive, "rep").select("rep", "features", "sketch", "bands")
+    return alive.groupBy("rep").agg(F.sort_array(F.collect_set("band")).alias("bands"))
 
 
 def runs(sets: DataFrame, ranges: int) -> DataFrame:
-    """sig, rep: signatures that several sets share."""
+    """sig, rep: the members of runs, sets that share a signature. Runs of the same members are one; ``sig`` names them."""
 
     def step(batches):
         sigs, who = [], []
@@ -296,11 +293,19 @@ def runs(sets: DataFrame, ranges: int) -> DataFrame:
             first = np.flatnonzero(np.concatenate(([True], sig[1:] != sig[:-1])))
             size = np.diff(np.append(first, len(sig)))
             several = np.repeat(size > 1, size)
-            sig, who = sig[several], who[several]
-        return pa.table({"sig": sig.astype(np.int64), "rep": who})
+            first, who = first[size > 1], who[several]
+            size = size[size > 1]
+            at = np.concatenate(([0], np.cumsum(size)))
+            total = np.concatenate(([np.uint64(0)], np.cumsum(textkit.mix(who.view(np.uint64)))))
+            name = textkit.mix(total[at[1:]] - total[at[:-1]])
+            name, one = np.unique(name, return_index=True)
+            lists = [who[at[k] : at[k + 1]] for k in one.tolist()]
+            return pa.table({"sig": name.view(np.int64), "reps": pa.array(lists, pa.list_(pa.int64()))})
+        return pa.table({"sig": pa.array([], pa.int64()), "reps": pa.array([], pa.list_(pa.int64()))})
 
     blobs = sets.select("rep", "features", "bands").mapInArrow(step, "bucket int, blob binary")
-    return blobs.groupBy("bucket").applyInArrow(meet, "sig long, rep long")
+    met = blobs.groupBy("bucket").applyInArrow(meet, "sig long, reps array<long>")
+    return met.dropDuplicates(["sig"]).select("sig", F.explode("reps").alias("rep"))
 
 
 def feature_sets(docs: DataFrame, words: int = WORDS) -> DataFrame:
@@ -353,14 +358,19 @@ def linked_components(run: DataFrame, sets: DataFrame) -> DataFrame | None:
     of other components with a later turn; in the last round all that is left,
     which is pairs with a member outside the first one's component.
     """
+    run = cut(run)
     weight = run.groupBy("sig").agg((F.count("*") - 1).alias("others"))
     central = run.join(weight, "sig").groupBy("rep").agg(F.sum("others").alias("central"))
     turn = F.row_number().over(W.partitionBy("sig").orderBy(F.col("central").desc(), F.col("rep")))
-    state = cut(run.join(central, "rep").select("sig", "rep", turn.alias("turn"), F.col("rep").alias("component")))
+    order = cut(run.join(central, "rep").select("sig", "rep", turn.alias("turn")))
     labels = None
     for past, upto in zip((0, *TURNS), (*TURNS, None), strict=True):
+        if labels is None:
+            state = order.withColumn("component", F.col("rep"))
+        else:
+            state = order.join(labels.select(F.col("node").alias("rep"), "component"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
         mixed = state.groupBy("sig").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.min(F.when(F.col("turn") == 1, F.col("component"))).alias("main"))
-        state = state.drop("main").join(mixed.where("lo <> hi").select("sig", "main"), "sig")
+        state = state.join(mixed.where("lo <> hi").select("sig", "main"), "sig")
         if upto:
             some = state.where(F.col("turn").between(past + 1, upto))
         else:
@@ -381,8 +391,6 @@ def linked_components(run: DataFrame, sets: DataFrame) -> DataFrame | None:
                 more = own.select("node", F.col("node").alias("component")).distinct().join(labels, "node", "left_anti")
                 labels = labels.union(more).join(moved, "component", "left").select("node", F.coalesce("to", "component").alias("component"))
             labels = cut(labels)
-            state = state.join(moved, "component", "left").select("sig", "rep", "turn", F.coalesce("to", "component").alias("component"), "main")
-        state = cut(state)
     return labels
 
 
@@ -401,11 +409,14 @@ def groups(docs: DataFrame, words: int = WORDS) -> DataFrame:
     left = cut(left)
     few = F.broadcast(left) if left.count() <= BROADCAST_ROWS else left
     sets = cut(feature_sets(docs.join(few, few["rep"] == docs["doc_id"]).select("rep", "text", "class"), words).dropDuplicates(["rep"]))
+    every_set = sets
     for part in (COUNTED, 1 << 16, 1 << 16):
         n = sets.agg(F.sum(F.size("features")).alias("n")).first()["n"] or 0
-        sets = cut(peeled(sets, max(LEAST_RANGES, 2 * n // RANGE_ENTRIES), part))
+        alive = cut(peeled(sets, max(LEAST_RANGES, 2 * n // RANGE_ENTRIES), part))
+        small = F.broadcast(alive) if alive.count() <= BROADCAST_ROWS else alive
+        sets = every_set.drop("bands").join(small, "rep").select("rep", "features", "sketch", "bands")
     n = sets.agg(F.sum(F.size("features")).alias("n")).first()["n"] or 0
-    run = cut(runs(sets, max(LEAST_RANGES, 3 * n // RANGE_ENTRIES)))
+    run = runs(sets, max(LEAST_RANGES, 3 * n // RANGE_ENTRIES))
     labels = linked_components(run, sets)
     member = every.join(one.select("class", "rep"), "class", "left")
     if labels is not None:
@@ -415,6 +426,11 @@ def groups(docs: DataFrame, words: int = WORDS) -> DataFrame:
     return member.select("doc_id", "n_shingles", F.coalesce("component", "rep", "doc_id").alias("component_id"))
 
 
+def keep_one(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs``, all columns, that are the least doc_id of their component; rows without an id stay."""
+    return without(docs, groups(docs).where("doc_id <> component_id").select("doc_id"))
+
+
 def _short_column(digest):
     """The first eight bytes, little endian, odd: what ``_short`` gives, as a signed long."""
     swapped = F.concat(*[F.substring(digest, k, 1) for k in range(8, 0, -1)])

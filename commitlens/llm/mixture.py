@@ -25,6 +25,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from commitlens.llm.shared import fresh
+
 #: Hex digits of md5 that name a hash range.
 RANGE_DIGITS = 3
 
@@ -61,27 +63,32 @@ def water_fill(sources: DataFrame, max_epochs: int = 3) -> DataFrame:
     )
 
 
-def mix(docs: DataFrame, max_epochs: int = 3, cycle: int = 3, seed: str = "mix") -> DataFrame:
-    """All columns of ``docs`` are dropped but doc_id and source; adds size, source_size, weight, target, repeats, taken."""
-    key = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
-    slim = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), key.alias("_at"))
-    slim = slim.withColumn("_range", F.substring("_at", 1, RANGE_DIGITS))
-    ranges = slim.groupBy("source", "_range").agg(F.sum("size").alias("_words"))
-    sources = water_fill(weights(ranges.groupBy("source").agg(F.sum("_words").alias("source_size")), cycle), max_epochs)
-    offset = F.coalesce(F.sum("_words").over(W.partitionBy("source").orderBy("_range").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    plan = ranges.withColumn("_offset", offset).join(
-        sources.withColumnRenamed("source", "_source"), F.col("source").eqNullSafe(F.col("_source")), "inner"
-    )
-    plan = plan.select(F.col("source").alias("_source"), F.col("_range").alias("_plan_range"), "_offset", "source_size", "weight", "target")
-    here = W.partitionBy("source", "_range").orderBy("_at", F.col("doc_id").asc_nulls_last(), "size").rowsBetween(W.unboundedPreceding, -1)
-    slim = slim.withColumn("_inside", F.coalesce(F.sum("size").over(here), F.lit(0)))
-    full = slim.join(plan, F.col("source").eqNullSafe(F.col("_source")) & (F.col("_range") == F.col("_plan_range")), "inner")
+def mix(docs: DataFrame, max_epochs: int = 3, cycle: int = 3, seed: str = "mix", keep: bool = False) -> DataFrame:
+    """doc_id, source, size, source_size, weight, target, repeats, taken; with ``keep`` also doc, a struct of all columns of ``docs``."""
+    at = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
+    rows = docs.select(
+        "doc_id", "source", word_count(F.col("text")).alias("size"), at.alias("at"), F.substring(at, 1, RANGE_DIGITS).alias("range"),
+        F.coalesce(F.concat(F.lit("="), "source"), F.lit("null")).alias("key"),
+        *([F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("doc")] if keep else []),
+    )
+    ranges = rows.groupBy("key", "source", "range").agg(F.sum("size").alias("words"))
+    sources = water_fill(weights(ranges.groupBy("key", "source").agg(F.sum("words").alias("source_size")), cycle), max_epochs)
+    offset = F.coalesce(F.sum("words").over(W.partitionBy("key").orderBy("range").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    plan = ranges.select("key", "range", offset.alias("offset")).join(sources.drop("source"), "key")
+    here = W.partitionBy("key", "range").orderBy("at", F.col("doc_id").asc_nulls_last(), "size").rowsBetween(W.unboundedPreceding, -1)
+    full = rows.withColumn("inside", F.coalesce(F.sum("size").over(here), F.lit(0))).join(plan, ["key", "range"])
     whole = F.floor(F.col("target") / F.greatest("source_size", F.lit(1))).cast("long")
     rest = F.round("target").cast("long") - whole * F.col("source_size")
-    part = F.greatest(F.lit(0), F.least(F.col("size"), rest - F.col("_offset") - F.col("_inside")))
-    return full.select(
-        "doc_id", "source", "size", "source_size", "weight", "target", whole.alias("repeats"), (whole * F.col("size") + part).cast("long").alias("taken")
-    )
+    part = F.greatest(F.lit(0), F.least(F.col("size"), rest - F.col("offset") - F.col("inside")))
+    names = ["doc_id", "source", "size", "source_size", "weight", "target", whole.alias("repeats"), (whole * F.col("size") + part).cast("long").alias("taken")]
+    return full.select(*names, *(["doc"] if keep else []))
+
+
+def keep_taken(docs: DataFrame, **options) -> DataFrame:
+    """The rows of ``docs`` that the mix takes words of, all columns, with the whole repeats and the words taken."""
+    more = [fresh(docs, "mix_repeats"), fresh(docs, "mix_taken")]
+    out = mix(docs, keep=True, **options).where("taken > 0")
+    return out.select("doc.*", F.col("repeats").alias(more[0]), F.col("taken").alias(more[1]))
 
 
 def op1(spark, sf_dir: str) -> DataFrame:

@@ -24,7 +24,8 @@ least of them take their key's next attempt, until none is left. Documents
 with such entities get their exceptions by a join; all others need none.
 
 Nulls and empty texts stay as they are, with no entity. Repeated rows each get
-their own result, which is the same for the same text. Other columns stay.
+their own result, which is the same for the same text. Other columns stay, whatever
+their names.
 """
 
 from __future__ import annotations
@@ -188,15 +189,14 @@ def surrogate(kind: Column, value: Column, attempt: Column, key: str = KEY) -> C
     )
 
 
-def _with_entities(docs: DataFrame) -> DataFrame:
-    hit = F.rlike(F.col("text"), F.lit(HINT))
-    none = F.array().cast("array<string>")
-    return docs.withColumn("_found", F.when(hit, F.regexp_extract_all(F.col("text"), F.lit(ENTITY), F.lit(0))).otherwise(none))
+def _entities(text: Column) -> Column:
+    hit = F.rlike(text, F.lit(HINT))
+    return F.when(hit, F.regexp_extract_all(text, F.lit(ENTITY), F.lit(0))).otherwise(F.array().cast("array<string>"))
 
 
 def exceptions(docs: DataFrame, key: str = KEY) -> DataFrame:
     """kind, value, surrogate of the entities that can't take their first surrogate."""
-    found = _with_entities(docs.select("text")).where(F.size("_found") > 0).select(F.explode(F.array_distinct("_found")).alias("value"))
+    found = docs.select(F.explode(F.array_distinct(_entities(F.col("text")))).alias("value"))
     seen = found.distinct().withColumn("kind", entity_type(F.col("value"))).withColumn("form", normal_form(F.col("kind"), F.col("value")))
     taken = seen.select("kind", "value", "form", F.lit(0).alias("attempt"))
     taken = cut(taken.withColumn("surrogate", surrogate(F.col("kind"), F.col("value"), F.col("attempt"), key)))
@@ -218,34 +218,35 @@ def exceptions(docs: DataFrame, key: str = KEY) -> DataFrame:
 
 
 def replace_entities(docs: DataFrame, key: str = KEY) -> DataFrame:
-    """All columns of ``docs`` with the new text; adds _kinds, the types of the entities in order."""
+    """doc (a struct of all columns of ``docs``, with the new text) and kinds, the types of the entities in order."""
     special = exceptions(docs, key)
-    out = _with_entities(docs)
-    fresh = lambda v: surrogate(entity_type(v), v, F.lit(0), key)
+    row = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("doc")
+    out = docs.select(row, F.col("text").alias("text"), _entities(F.col("text")).alias("found"))
+    first = lambda v: surrogate(entity_type(v), v, F.lit(0), key)
     if special is None:
-        out = out.withColumn("_new", F.transform("_found", fresh))
+        out = out.withColumn("new", F.transform("found", first))
     else:
-        held = _with_entities(docs.select("text")).where(F.size("_found") > 0).select(F.md5("text").alias("_id"), F.explode(F.array_distinct("_found")).alias("value"))
-        own = held.distinct().join(special, "value").groupBy("_id").agg(F.map_from_entries(F.collect_list(F.struct("value", "surrogate"))).alias("_special"))
-        out = out.withColumn("_md5", F.md5("text")).join(own, F.col("_md5") == F.col("_id"), "left").drop("_md5", "_id")
-        get = lambda v: F.coalesce(F.try_element_at(F.col("_special"), v), fresh(v))
-        out = out.withColumn("_new", F.transform("_found", get)).drop("_special")
+        held = docs.select(F.md5("text").alias("id"), F.explode(F.array_distinct(_entities(F.col("text")))).alias("value")).distinct()
+        own = held.join(special, "value").groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("value", "surrogate"))).alias("special"))
+        out = out.join(own, F.md5(out["text"]) == F.col("id"), "left")
+        get = lambda v: F.coalesce(F.try_element_at(F.col("special"), v), first(v))
+        out = out.withColumn("new", F.transform("found", get))
     pieces = F.split(F.col("text"), ENTITY, -1)
-    joined = F.array_join(F.zip_with(pieces, "_new", lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), "")
-    out = out.withColumn("_kinds", F.transform("_found", entity_type))
-    return out.withColumn("text", F.when(F.size("_found") > 0, joined).otherwise(F.col("text"))).drop("_found", "_new")
+    joined = F.array_join(F.zip_with(pieces, "new", lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), "")
+    text = F.when(F.size("found") > 0, joined).otherwise(F.col("text"))
+    return out.select(F.col("doc").withField("text", text).alias("doc"), F.transform("found", entity_type).alias("kinds"))
 
 
 def _count(kind: str) -> Column:
-    return F.size(F.filter("_kinds", lambda k: k == kind)).cast("long")
+    return F.size(F.filter("kinds", lambda k: k == kind)).cast("long")
 
 
 def op8(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     out = replace_entities(docs)
-    return out.select("doc_id", *(_count(n).alias(f"n_{n}") for n, _ in TYPES), "text")
+    return out.select("doc.doc_id", *(_count(n).alias(f"n_{n}") for n, _ in TYPES), "doc.text")
 
 
 def keep_columns(docs: DataFrame) -> DataFrame:
     """``docs`` with surrogates in the text, same columns."""
-    return replace_entities(docs).select(*docs.columns)
+    return replace_entities(docs).select("doc.*")

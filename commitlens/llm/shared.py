@@ -16,6 +16,25 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+#: Rows of ids that are sent to every executor; more are joined by a shuffle.
+BROADCAST_ROWS = 500_000
+
+
+def without(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows of ``docs``, all columns, whose doc_id isn't in ``ids`` (one column); rows without an id stay."""
+    ids = cut(ids.toDF("doc_id").where("doc_id is not null").distinct())
+    few = F.broadcast(ids) if ids.count() <= BROADCAST_ROWS else ids
+    return docs.join(few, "doc_id", "left_anti").select(*docs.columns)
+
+
+def fresh(docs: DataFrame, name: str) -> str:
+    """A column name that ``docs`` doesn't have."""
+    taken = {c.lower() for c in docs.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def components(edges: DataFrame, rounds: int = 200) -> DataFrame:
     """a, b -> node, component: the least node that links reach, for all nodes of the edges.
 
