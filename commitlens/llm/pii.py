@@ -64,13 +64,13 @@ CARD = r"[0-9]{4}([ -]?)[0-9]{4}\1[0-9]{4}\1[0-9]{4}|3[47][0-9]{13}"
 SSN = r"[0-9]{3}-[0-9]{2}-[0-9]{4}"
 PHONE = r"\+[0-9]{1,3}[ .-]?(?:\([0-9]{2,4}\)[ .-]?)?[0-9]{2,4}(?:[ .-]?[0-9]{2,4}){1,4}|\([0-9]{3}\) ?[0-9]{3}[ .-][0-9]{4}|[0-9]{3}[.-][0-9]{3}[.-][0-9]{4}"
 NAME = rf"(?:(?:{'|'.join(TITLES)})\.? (?:{WORD_NAME} )?{WORD_NAME}|(?:{_ALL_GIVEN}) {WORD_NAME})"
-#: Before a match no word character may stand, after it neither.
 TYPES = (("email", EMAIL), ("iban", IBAN), ("ip", IP), ("card", CARD), ("ssn", SSN), ("phone", PHONE), ("name", NAME))
-ENTITY = "(?:" + "|".join(rf"(?<![\p{{L}}\p{{N}}_]){p}(?![\p{{L}}\p{{N}}_])" for _, p in (
-    ("email", EMAIL), ("iban", IBAN), ("ip", rf"(?<![.]){IP}(?![.][0-9])"), ("card", CARD.replace("|", r"(?![\p{L}\p{N}_])|(?<![\p{L}\p{N}_])")),
-    ("ssn", SSN), ("phone", rf"(?:{PHONE})"), ("name", NAME))) + ")"
+#: Before an entity no word character may stand, after it neither. Names are tried at capitals only.
+ENTITY = (
+    r"(?<![\p{L}\p{N}_])(?:" + "|".join((EMAIL, IBAN, rf"(?<![.]){IP}(?![.][0-9])", CARD, SSN, PHONE, rf"(?=\p{{Lu}}){NAME}")) + r")(?![\p{L}\p{N}_])"
+)
 #: Any entity has one of these; texts without are not searched further.
-HINT = r"@|[0-9]{3}|[0-9]\.[0-9]|\b(?:" + "|".join(TITLES) + "|" + _ALL_GIVEN + r")\b"
+HINT = r"@|[0-9]{3}|[0-9]\.[0-9]|(?=\p{Lu})(?<![\p{L}\p{N}_])(?:" + "|".join(TITLES) + "|" + _ALL_GIVEN + r")[. ]"
 
 
 def entity_type(value: Column) -> Column:
