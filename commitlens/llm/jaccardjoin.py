@@ -22,15 +22,14 @@ integers; no link between different sets is lost:
    second-level parts the two sets are equal. Each such subset's content is a
    signature, and linked sets share one. Spare parts make it safe to leave out
    signatures of empty content, which sets that have nothing in common share.
-3. *Candidates, without all pairs.* Sets that share a signature are a run. A
-   run of one component needs no more work. In other runs first one member,
-   then a few, then some more are held against the members of other components
-   and verified; the groups that this joins end most runs. At last what is left
-   of a run, members outside its main component, is held against all others, so
-   no pair that shares a signature stays unlinked without having been compared.
-   Before verification an exact bound goes over parity sketches: the
-   population count of their difference is at most the number of features
-   that differ.
+3. *Candidates, without all pairs.* Sets that share a signature are a run; the
+   member with most company in all runs is the hub of the run's others. Sets are
+   first held against their hubs, and verified. Then the members of a hub, in
+   chunks, are held against each other where they are of different components
+   yet: any two sets that share a signature are members of one hub. Before
+   verification an exact bound goes over parity sketches: the population count of
+   their difference is at most the number of features that differ. Only pairs
+   that pass it, of different components, come into being as rows.
 4. Components are labelled by Spark joins.
 
 Nulls and texts without words have no features, link with nothing and are
@@ -46,7 +45,6 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from commitlens.llm import textkit
@@ -62,10 +60,8 @@ RANGE_ENTRIES = 1_000_000
 LEAST_RANGES = 64
 #: Differences that a first-level part may have, and its second-level parts.
 K2, N2 = 1, 3
-#: Words of a parity sketch.
-SKETCH = 16
-#: Members of a run that are held against its others in the rounds before the last.
-TURNS = (1, 12)
+#: Members of a hub that are compared as one side of a group.
+CHUNK = 256
 
 
 def _domain(features: np.ndarray) -> np.ndarray:
@@ -308,6 +304,11 @@ def runs(sets: DataFrame, ranges: int) -> DataFrame:
     return met.dropDuplicates(["sig"]).select("sig", F.explode("reps").alias("rep"))
 
 
+def sketch_bits(size: int) -> int:
+    """Bits of a set's parity sketch: a power of two, four or more for each feature. The halves of a sketch, added, are one of half the bits."""
+    return max(1024, 1 << (4 * size - 1).bit_length())
+
+
 def feature_sets(docs: DataFrame, words: int = WORDS) -> DataFrame:
     """rep, features (sorted), sketch, bands, of documents (rep, text, class); rows whose set has another digest are dropped."""
 
@@ -317,10 +318,12 @@ def feature_sets(docs: DataFrame, words: int = WORDS) -> DataFrame:
             sets = textkit.shingle_sets(textkit.lower_ascii(buf), offs, words)
             right = [i for i, (s, c) in enumerate(zip(sets, b.column(2).to_pylist(), strict=True)) if hashlib.blake2b(s.tobytes(), digest_size=16).digest() == c]
             sets, reps = [sets[i] for i in right], b.column(0).take(pa.array(right, pa.int64()))
-            sketches = np.zeros((len(sets), SKETCH), np.uint64)
-            for i, s in enumerate(sets):
-                bits = np.bincount((s >> np.uint64(20)).astype(np.int64) % (64 * SKETCH), minlength=64 * SKETCH).astype(np.uint8) & 1
-                sketches[i] = np.packbits(bits, bitorder="little").view(np.uint64)
+            sketches = []
+            for own in sets:
+                n = sketch_bits(len(own))
+                bits = np.bincount((own >> np.uint64(20)).astype(np.int64) % n, minlength=n).astype(np.uint8) & 1
+                sketches.append(np.packbits(bits, bitorder="little").view(np.uint64))
+            ends = np.concatenate(([0], np.cumsum([len(x) for x in sketches]))).astype(np.int32)
             at = np.zeros(len(sets) + 1, np.int32)
             at[1:] = np.cumsum([len(s) for s in sets])
             flat = np.concatenate(sets).view(np.int64) if sets else np.zeros(0, np.int64)
@@ -328,7 +331,7 @@ def feature_sets(docs: DataFrame, words: int = WORDS) -> DataFrame:
                 [
                     reps,
                     pa.ListArray.from_arrays(pa.array(at), pa.array(flat)),
-                    pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1, dtype=np.int32) * SKETCH), pa.array(sketches.reshape(-1).view(np.int64))),
+                    pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(sketches).view(np.int64) if sketches else np.zeros(0, np.int64))),
                     pa.array([bands_of(len(s)) for s in sets], pa.list_(pa.int32())),
                 ],
                 names=["rep", "features", "sketch", "bands"],
@@ -341,7 +344,11 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """Of candidate pairs a, b, with the components ca, cb, those that link. The bound on sketches goes first, so few sets move."""
     slim = sets.select("rep", F.size("features").alias("n"), "sketch")
     near = pairs.join(slim.toDF("a", "na", "sa"), "a").join(slim.toDF("b", "nb", "sb"), "b")
-    differ = F.aggregate(F.zip_with("sa", "sb", lambda x, y: F.bit_count(x.bitwiseXOR(y)).cast("int")), F.lit(0), lambda s, x: s + x)
+    a_is_long = F.size("sa") > F.size("sb")
+    long, short = F.when(a_is_long, F.col("sa")).otherwise(F.col("sb")), F.when(a_is_long, F.col("sb")).otherwise(F.col("sa"))
+    m = F.size(short)
+    half = F.zip_with(F.slice(long, F.lit(1), m), F.slice(long, m + 1, m), lambda x, y: x.bitwiseXOR(y))
+    differ = F.aggregate(F.zip_with(F.when(F.size(long) > m, half).otherwise(long), short, lambda x, y: F.bit_count(x.bitwiseXOR(y)).cast("int")), F.lit(0), lambda s, x: s + x)
     near = near.where(F.least("na", "nb") * DEN >= F.greatest("na", "nb") * NUM)
     near = near.where(differ * (DEN + NUM) <= (F.col("na") + F.col("nb")) * (DEN - NUM)).select("a", "b", "ca", "cb")
     full = sets.select("rep", "features")
@@ -350,48 +357,77 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return both.where(same * DEN >= (F.size("fa") + F.size("fb") - same) * NUM).select("a", "b", "ca", "cb")
 
 
+def hubs(run: DataFrame) -> DataFrame:
+    """hub, rep: in each run the member with most company in all runs is the hub of its others, and of itself."""
+    run = cut(run)
+    weight = run.groupBy("sig").agg((F.count("*") - 1).alias("others"))
+    central = run.join(weight, "sig").groupBy("rep").agg(F.sum("others").alias("central"))
+    ranked = run.join(central, "rep").select("sig", "rep", F.struct(-F.col("central"), F.col("rep")).alias("rank"))
+    first = ranked.groupBy("sig").agg(F.min("rank").alias("first")).select("sig", F.col("first.rep").alias("hub"))
+    return ranked.select("sig", "rep").join(first, "sig").select("hub", "rep").distinct()
+
+
+def near_pairs(member: DataFrame, sets: DataFrame) -> DataFrame:
+    """a, b, ca, cb: of the members (hub, rep, component) of a hub those of different components that the
+    bound on sketches lets through. A hub's members go in chunks of about ``CHUNK``, and each two chunks
+    of a hub are one group, so that no group is large; in it only such pairs come into being."""
+    size = member.groupBy("hub").agg(F.count("*").alias("n"), F.min("component").alias("lo"), F.max("component").alias("hi"))
+    size = size.where("lo <> hi").select("hub", F.ceil(F.col("n") / CHUNK).cast("int").alias("chunks"))
+    rows = member.join(size, "hub").join(sets.select("rep", F.size("features").alias("n"), "sketch"), "rep")
+    own = F.pmod(F.xxhash64("rep"), F.col("chunks")).cast("int")
+    rows = rows.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+    rows = rows.select("hub", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "rep", "component", "n", "sketch")
+
+    def meet(table: pa.Table) -> pa.Table:
+        rep, comp, n, own = (table.column(c).to_numpy() for c in ("rep", "component", "n", "own"))
+        sketch = [x.values.to_numpy(zero_copy_only=False).view(np.uint64) for x in table.column("sketch")]
+        width = np.array([len(x) for x in sketch])
+        one_chunk = table.column("i")[0].as_py() == table.column("j")[0].as_py()
+        found = []
+        for w in np.unique(width).tolist():
+            wide = np.flatnonzero(width >= w)
+            folded = np.stack([np.bitwise_xor.reduce(sketch[k].reshape(-1, w), 0) for k in wide])
+            for at, k in enumerate(wide.tolist()):
+                if width[k] != w:
+                    continue
+                ok = (comp[wide] != comp[k]) & ((width[wide] > w) | (wide > k))
+                ok &= 4 * np.minimum(n[wide], n[k]) >= 3 * np.maximum(n[wide], n[k])
+                if not one_chunk:
+                    ok &= own[wide] != own[k]
+                other = np.flatnonzero(ok)
+                if len(other):
+                    differ = np.bitwise_count(folded[other] ^ folded[at]).sum(1, dtype=np.int64)
+                    found += [(k, x) for x in wide[other[differ * (DEN + NUM) <= (n[wide[other]] + n[k]) * (DEN - NUM)]].tolist()]
+        x, y = (np.array([f[c] for f in found], np.int64) for c in (0, 1))
+        return pa.table({"a": np.minimum(rep[x], rep[y]), "b": np.maximum(rep[x], rep[y]), "ca": np.minimum(comp[x], comp[y]), "cb": np.maximum(comp[x], comp[y])})
+
+    met = rows.groupBy("hub", "i", "j").applyInArrow(meet, "a long, b long, ca long, cb long")
+    return met.groupBy("a", "b").agg(F.min("ca").alias("ca"), F.max("cb").alias("cb"))
+
+
 def linked_components(run: DataFrame, sets: DataFrame) -> DataFrame | None:
     """node, component of the sets that link with others; None if none does.
 
-    A run's members take turns, those with most company in all runs first. In
-    round i the members up to turn ``TURNS[i]`` are held against the members
-    of other components with a later turn; in the last round all that is left,
-    which is pairs with a member outside the first one's component.
+    First every set is held against its hubs, which joins most of what links. Then all members of a hub
+    are held against each other, as far as they are of different components.
     """
-    run = cut(run)
-    weight = run.groupBy("sig").agg((F.count("*") - 1).alias("others"))
-    central = run.join(weight, "sig").groupBy("rep").agg(F.sum("others").alias("central"))
-    turn = F.row_number().over(W.partitionBy("sig").orderBy(F.col("central").desc(), F.col("rep")))
-    order = cut(run.join(central, "rep").select("sig", "rep", turn.alias("turn")))
-    labels = None
-    for past, upto in zip((0, *TURNS), (*TURNS, None), strict=True):
-        if labels is None:
-            state = order.withColumn("component", F.col("rep"))
-        else:
-            state = order.join(labels.select(F.col("node").alias("rep"), "component"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-        mixed = state.groupBy("sig").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.min(F.when(F.col("turn") == 1, F.col("component"))).alias("main"))
-        state = state.join(mixed.where("lo <> hi").select("sig", "main"), "sig")
-        if upto:
-            some = state.where(F.col("turn").between(past + 1, upto))
-        else:
-            some = state.where((F.col("turn") > past) & (F.col("component") != F.col("main")))
-        some = some.select("sig", F.col("rep").alias("p"), F.col("component").alias("pc"))
-        pairs = some.join(state.where(F.col("turn") > past), "sig").where("pc <> component")
-        pairs = pairs.groupBy(F.least("p", "rep").alias("a"), F.greatest("p", "rep").alias("b")).agg(
-            F.min(F.least("pc", "component")).alias("ca"), F.max(F.greatest("pc", "component")).alias("cb")
-        )
-        found = cut(verified(pairs.select("a", "b", "ca", "cb"), sets))
-        if found.limit(1).count():
-            joined = components(found.select(F.col("ca").alias("a"), F.col("cb").alias("b")))
-            moved = joined.select(F.col("node").alias("component"), F.col("component").alias("to"))
-            own = found.select(F.col("a").alias("node"), "ca", "cb").union(found.select("b", "ca", "cb"))
-            if labels is None:
-                labels = joined
-            else:
-                more = own.select("node", F.col("node").alias("component")).distinct().join(labels, "node", "left_anti")
-                labels = labels.union(more).join(moved, "component", "left").select("node", F.coalesce("to", "component").alias("component"))
-            labels = cut(labels)
-    return labels
+    star = cut(hubs(run))
+    pairs = star.where("hub <> rep").select(F.least("hub", "rep").alias("a"), F.greatest("hub", "rep").alias("b")).distinct()
+    found = cut(verified(pairs.select("a", "b", F.col("a").alias("ca"), F.col("b").alias("cb")), sets))
+    labels = cut(components(found.select("a", "b"))) if found.limit(1).count() else None
+    member = star.withColumn("component", F.col("rep"))
+    if labels is not None:
+        member = star.join(labels.select(F.col("node").alias("rep"), "component"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+    more = cut(verified(near_pairs(member.select("hub", "rep", "component"), sets), sets))
+    if not more.limit(1).count():
+        return labels
+    moved = components(more.select(F.col("ca").alias("a"), F.col("cb").alias("b"))).select(F.col("node").alias("component"), F.col("component").alias("to"))
+    single = more.select(F.col("a").alias("node")).union(more.select("b")).distinct()
+    if labels is None:
+        labels = single.withColumn("component", F.col("node"))
+    else:
+        labels = labels.union(single.join(labels, "node", "left_anti").withColumn("component", F.col("node")))
+    return labels.join(moved, "component", "left").select("node", F.coalesce("to", "component").alias("component"))
 
 
 def groups(docs: DataFrame, words: int = WORDS) -> DataFrame:
