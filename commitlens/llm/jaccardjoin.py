@@ -482,12 +482,12 @@ def op2(spark, sf_dir: str) -> DataFrame:
 OP2_SQL = r"""
 with recursive t as (
     select doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as w from documents),
-s as (select doc_id, case when w is null or len(w) = 0 then []::varchar[] when len(w) < 5 then [array_to_string(w, ' ')]
+s as materialized (select doc_id, case when w is null or len(w) = 0 then []::varchar[] when len(w) < 5 then [array_to_string(w, ' ')]
              else list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i : i + 4], ' '))) end as s from t),
 n as (select doc_id, len(s)::bigint as n from s),
-f as (select doc_id, hash(unnest(s)) as x from s),
+f as materialized (select doc_id, hash(unnest(s)) as x from s),
 p as (select a.doc_id as a, b.doc_id as b, count(*) as i from f a join f b on a.x = b.x and a.doc_id < b.doc_id group by 1, 2),
-m as (select a, b from p join n x on x.doc_id = a join n y on y.doc_id = b where 100 * i >= 75 * (x.n + y.n - i)),
+m as materialized (select a, b from p join n x on x.doc_id = a join n y on y.doc_id = b where 100 * i >= 75 * (x.n + y.n - i)),
 l as (select a, b from m union all select b, a from m),
 c as (select doc_id as a, doc_id as b from n union select c.a, l.b from c join l on c.b = l.a)
 select n.doc_id, n.n as n_shingles, min(c.b) as component_id from n join c on c.a = n.doc_id group by 1, 2
