@@ -142,9 +142,12 @@ def repeated_anchors(rows: DataFrame, ranges: int) -> DataFrame:
 
 
 def repeated_windows(rows: DataFrame, seeds: DataFrame, ranges: int) -> DataFrame:
-    """row, places: where a row's windows start that also stand earlier. ``row`` orders the documents."""
+    """row, places: where a row's windows start that also stand earlier. ``row`` orders the documents.
+
+    The columns of ``rows`` are those that ``dedup`` joins again, so that one shuffle of the texts serves both.
+    """
     seeds = seeds.groupBy("row").agg(F.flatten(F.collect_list("places")).alias("places"))
-    both = rows.join(seeds, "row").select("row", "text", "places")
+    both = rows.join(seeds, "row").select("row", "text", "places", "doc_id")
 
     def step(batches):
         for b in textkit.slices(batches):
@@ -197,7 +200,7 @@ def dedup(docs: DataFrame) -> DataFrame:
     n = rows.agg(F.sum(F.length("text")).alias("n")).first()["n"] or 0
     ranges = max(LEAST_RANGES, n // 36 // RANGE_ENTRIES)
     seeds = cut(repeated_anchors(rows, ranges))
-    gone = cut(repeated_windows(rows, seeds, ranges))
+    gone = repeated_windows(keyed, seeds, ranges)
     gone = gone.groupBy("row").agg(F.flatten(F.collect_list("places")).alias("places"))
     both = keyed.join(gone, "row", "left").select("doc_id", "text", "places")
 
