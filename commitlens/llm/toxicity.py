@@ -17,8 +17,9 @@ words.
 Training sentences: a document marked toxic has at least one insult, so of its
 words the best by the present machine is the positive example (at first: by
 how much more often documents marked toxic hold it), while all words of
-unmarked documents are negatives. A few rounds of this; then a logistic curve
-turns the best word's margin of a document into a score.
+unmarked documents are negatives. A document without a word on the positive
+side gives no example, so wrong marks teach little. A few rounds of this; then
+a logistic curve turns the best word's margin of a document into a score.
 
 The sample is bounded: about ``SAMPLE`` labelled documents of each class,
 picked by a hash of doc_id (a rate that follows from the class's count), never
@@ -47,6 +48,8 @@ DECAY = 0.7
 #: Distances of the second and third character of a triple from its first.
 OFFSETS = ((1, 2), (1, 3), (2, 3), (2, 4), (1, 4), (3, 4))
 ROUNDS = 4
+#: A word starts as an example if so many marked documents hold it, so many deviations more than by chance.
+SUPPORT, LEAD = 3, 3.5
 #: Words of a marked document that may be its positive example, by their lead.
 OPTIONS = 16
 THRESHOLD = 0.3
@@ -189,7 +192,9 @@ def train(texts, y: np.ndarray, landmarks: int = LANDMARKS) -> dict:
     in_pos = np.bincount(word[y[doc] == 1], minlength=len(vocabulary)).astype(float)
     in_neg = np.bincount(word[y[doc] == 0], minlength=len(vocabulary)).astype(float)
     odds = np.log((in_pos + 0.5) / ((y == 1).sum() + 1)) - np.log((in_neg + 0.5) / ((y == 0).sum() + 1))
-    lead = odds * np.sqrt(in_pos)
+    # How far a word's documents lean to the positive class, in deviations from chance.
+    chance = (in_pos + in_neg) * (y == 1).mean()
+    lead = np.where(in_pos >= SUPPORT, (in_pos - chance) / np.sqrt(chance + 0.25), (in_pos - chance) * 1e-3)
     # Landmarks: words that point to the positive class, and the most frequent others.
     half = landmarks // 2
     top = np.argsort(-lead, kind="stable")[:half]
@@ -248,15 +253,19 @@ def train(texts, y: np.ndarray, landmarks: int = LANDMARKS) -> dict:
     described, disguised = describe(options), describe(variants)
     at = np.full(len(vocabulary), -1)
     at[options] = np.arange(len(options))
-    score = lead[options]
+    score = lead[options] - LEAD
+    if not (score > 0).any():
+        score = lead[options] - lead[options].min() + 1e-9
     theta = np.zeros(white.shape[1] + 1)
     for _ in range(ROUNDS):
         chosen = []
         for h in mine:
             k = at[h]
-            chosen.append(k[np.argmax(score[k])])
+            best = k[np.argmax(score[k])]
+            if score[best] > 0:
+                chosen.append(best)
         if not chosen:
-            return empty
+            break
         hidden = disguised[np.isin(source, np.array(chosen))]
         x = np.concatenate((described[np.array(chosen)], hidden, clean)).astype(np.float64)
         x = np.hstack((x, np.ones((len(x), 1))))
@@ -272,7 +281,7 @@ def train(texts, y: np.ndarray, landmarks: int = LANDMARKS) -> dict:
             theta = theta - move
             if np.abs(move).max() < 1e-6:
                 break
-        score = described @ theta[:-1]
+        score = described @ theta[:-1] + theta[-1]
     weights = (dense.T @ (white @ theta[:-1]).astype(np.float32)).astype(np.float64)
     model = {"weights": weights, "bias": float(theta[-1]), "slope": 1.0, "intercept": 0.0}
     best = np.concatenate([best_margins(col.slice(i, 200), model) for i in range(0, len(col), 200)])
