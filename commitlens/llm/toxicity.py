@@ -25,7 +25,7 @@ The sample is bounded: about ``SAMPLE`` labelled documents of each class,
 picked by a hash of doc_id (a rate that follows from the class's count), never
 those held out. Rows without a label, a text or a doc_id don't train. Labels of
 repeated rows count as toxic if one of them does. Without both classes in the
-sample every score is 0.
+sample, or a word that enough marked documents hold, every score is about 0.
 
 Nulls and texts without words have the score of no evidence (margin of an
 empty word). Repeated rows each get their own result.
@@ -255,7 +255,7 @@ def train(texts, y: np.ndarray, landmarks: int = LANDMARKS) -> dict:
     at[options] = np.arange(len(options))
     score = lead[options] - LEAD
     if not (score > 0).any():
-        score = lead[options] - lead[options].min() + 1e-9
+        return empty
     theta = np.zeros(white.shape[1] + 1)
     for _ in range(ROUNDS):
         chosen = []
