@@ -24,9 +24,8 @@ integers; no link between different sets is lost:
    signatures of empty content, which sets that have nothing in common share.
 3. *Candidates, without all pairs.* Sets that share a signature are a run; the
    member with most company in all runs is the hub of the run's others. Sets are
-   first held against their hubs, and verified. Then the members of a hub, in
-   chunks, are held against each other where they are of different components
-   yet: any two sets that share a signature are members of one hub. Before
+   first held against their hubs, and verified. Then members outside a hub's
+   component are held, in chunks, against all members of other components: any two sets that share a signature are members of one hub. Before
    verification an exact bound goes over parity sketches: the population count of
    their difference is at most the number of features that differ. Only pairs
    that pass it, of different components, come into being as rows.
@@ -60,8 +59,8 @@ RANGE_ENTRIES = 1_000_000
 LEAST_RANGES = 64
 #: Differences that a first-level part may have, and its second-level parts.
 K2, N2 = 1, 3
-#: Members of a hub that are compared as one side of a group.
-CHUNK = 256
+#: Members of a hub that are one side of a group.
+CHUNK = 512
 
 
 def _domain(features: np.ndarray) -> np.ndarray:
@@ -369,39 +368,47 @@ def hubs(run: DataFrame) -> DataFrame:
 
 def near_pairs(member: DataFrame, sets: DataFrame) -> DataFrame:
     """a, b, ca, cb: of the members (hub, rep, component) of a hub those of different components that the
-    bound on sketches lets through. A hub's members go in chunks of about ``CHUNK``, and each two chunks
-    of a hub are one group, so that no group is large; in it only such pairs come into being."""
-    size = member.groupBy("hub").agg(F.count("*").alias("n"), F.min("component").alias("lo"), F.max("component").alias("hi"))
-    size = size.where("lo <> hi").select("hub", F.ceil(F.col("n") / CHUNK).cast("int").alias("chunks"))
+    bound on sketches lets through.
+
+    Of two such members one at least is outside the hub's own component. Those outside and all members go
+    in chunks of about ``CHUNK`` each, and a chunk of either is a group, so that no group is large; in it
+    only pairs that pass come into being.
+    """
+    own = F.max(F.when(F.col("rep") == F.col("hub"), F.col("component")))
+    size = member.groupBy("hub").agg(F.count("*").alias("n"), own.alias("main")).join(member, "hub").groupBy("hub", "n", "main")
+    size = size.agg(F.count(F.when(F.col("component") != F.col("main"), 1)).alias("outside")).where("outside > 0")
+    chunks = lambda c: F.ceil(F.col(c) / CHUNK).cast("int")
+    size = size.select("hub", "main", chunks("n").alias("cols"), chunks("outside").alias("lines"))
     rows = member.join(size, "hub").join(sets.select("rep", F.size("features").alias("n"), "sketch"), "rep")
-    own = F.pmod(F.xxhash64("rep"), F.col("chunks")).cast("int")
-    rows = rows.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
-    rows = rows.select("hub", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "rep", "component", "n", "sketch")
+    keep = ["hub", "rep", "component", "n", "sketch"]
+    part = lambda c: F.pmod(F.xxhash64("rep"), F.col(c)).cast("int")
+    every = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
+    outside = rows.where("component <> main").select(*keep, F.lit(True).alias("outside"), part("lines").alias("i"), every("cols").alias("j"))
+    inside = rows.select(*keep, F.lit(False).alias("outside"), part("cols").alias("j"), every("lines").alias("i")).select(*outside.columns)
 
     def meet(table: pa.Table) -> pa.Table:
-        rep, comp, n, own = (table.column(c).to_numpy() for c in ("rep", "component", "n", "own"))
+        rep, comp, n, out = (table.column(c).to_numpy() for c in ("rep", "component", "n", "outside"))
         sketch = [x.values.to_numpy(zero_copy_only=False).view(np.uint64) for x in table.column("sketch")]
         width = np.array([len(x) for x in sketch])
-        one_chunk = table.column("i")[0].as_py() == table.column("j")[0].as_py()
-        found = []
+        found: list[tuple[int, int]] = []
         for w in np.unique(width).tolist():
+            # Pairs of which the shorter sketch has this width.
             wide = np.flatnonzero(width >= w)
             folded = np.stack([np.bitwise_xor.reduce(sketch[k].reshape(-1, w), 0) for k in wide])
-            for at, k in enumerate(wide.tolist()):
-                if width[k] != w:
-                    continue
-                ok = (comp[wide] != comp[k]) & ((width[wide] > w) | (wide > k))
-                ok &= 4 * np.minimum(n[wide], n[k]) >= 3 * np.maximum(n[wide], n[k])
-                if not one_chunk:
-                    ok &= own[wide] != own[k]
-                other = np.flatnonzero(ok)
+            there = np.flatnonzero(~out[wide])
+            for at in np.flatnonzero(out[wide]).tolist():
+                k = wide[at]
+                x = wide[there]
+                ok = (comp[x] != comp[k]) & (np.minimum(width[x], width[k]) == w) & (DEN * np.minimum(n[x], n[k]) >= NUM * np.maximum(n[x], n[k]))
+                other = there[ok]
                 if len(other):
                     differ = np.bitwise_count(folded[other] ^ folded[at]).sum(1, dtype=np.int64)
-                    found += [(k, x) for x in wide[other[differ * (DEN + NUM) <= (n[wide[other]] + n[k]) * (DEN - NUM)]].tolist()]
+                    near = other[differ * (DEN + NUM) <= (n[wide[other]] + n[k]) * (DEN - NUM)]
+                    found += [(k, y) for y in wide[near].tolist()]
         x, y = (np.array([f[c] for f in found], np.int64) for c in (0, 1))
         return pa.table({"a": np.minimum(rep[x], rep[y]), "b": np.maximum(rep[x], rep[y]), "ca": np.minimum(comp[x], comp[y]), "cb": np.maximum(comp[x], comp[y])})
 
-    met = rows.groupBy("hub", "i", "j").applyInArrow(meet, "a long, b long, ca long, cb long")
+    met = outside.union(inside).groupBy("hub", "i", "j").applyInArrow(meet, "a long, b long, ca long, cb long")
     return met.groupBy("a", "b").agg(F.min("ca").alias("ca"), F.max("cb").alias("cb"))
 
 

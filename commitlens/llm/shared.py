@@ -44,13 +44,15 @@ def components(edges: DataFrame, rounds: int = 200) -> DataFrame:
     """
     both = edges.select(F.col("a").alias("u"), F.col("b").alias("v")).union(edges.select("b", "a")).where("u <> v").distinct()
     both = cut(both)
+    # The labels are no more than the links.
+    small = F.broadcast if both.count() <= BROADCAST_ROWS else lambda df: df
     labels = both.groupBy(F.col("u").alias("node")).agg(F.least(F.min("u"), F.min("v")).alias("component"))
     labels = cut(labels)
     for _ in range(rounds):
-        near = both.join(labels, both["u"] == labels["node"]).groupBy(F.col("v").alias("node")).agg(F.min("component").alias("near"))
-        spread = labels.join(near, "node").select("node", "component", F.least("component", "near").alias("near"))
+        near = both.join(small(labels), both["u"] == labels["node"]).groupBy(F.col("v").alias("node")).agg(F.min("component").alias("near"))
+        spread = near.join(small(labels), "node").select("node", "component", F.least("component", "near").alias("near"))
         target = spread.select(F.col("node").alias("to"), F.col("near").alias("far"))
-        jumped = spread.join(target, F.col("near") == F.col("to")).select("node", F.least("near", "far").alias("component"), F.col("component").alias("was"))
+        jumped = spread.join(small(target), F.col("near") == F.col("to")).select("node", F.least("near", "far").alias("component"), F.col("component").alias("was"))
         jumped = cut(jumped)
         moved = jumped.where("component <> was").limit(1).count()
         labels = jumped.drop("was")
