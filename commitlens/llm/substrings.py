@@ -195,7 +195,8 @@ def merged(places: np.ndarray, window: int = WINDOW) -> list[tuple[int, int]]:
 def dedup(docs: DataFrame) -> DataFrame:
     """doc_id, kept (the words left, joined by one space), n_words, n_removed, of every row."""
     kind = docs.schema["doc_id"].dataType.simpleString()
-    keyed = _numbered(docs)
+    # No row is null; saying so for both joins makes their shuffles of the texts the same one.
+    keyed = _numbered(docs).where("row is not null")
     rows = keyed.select("row", "text")
     n = rows.agg(F.sum(F.length("text")).alias("n")).first()["n"] or 0
     ranges = max(LEAST_RANGES, n // 36 // RANGE_ENTRIES)
