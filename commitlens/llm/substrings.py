@@ -142,10 +142,7 @@ def repeated_anchors(rows: DataFrame, ranges: int) -> DataFrame:
 
 
 def repeated_windows(rows: DataFrame, seeds: DataFrame, ranges: int) -> DataFrame:
-    """row, places: where a row's windows start that also stand earlier. ``row`` orders the documents.
-
-    The columns of ``rows`` are those that ``dedup`` joins again, so that one shuffle of the texts serves both.
-    """
+    """row, places: where a row's windows start that also stand earlier. ``row`` orders the documents."""
     seeds = seeds.groupBy("row").agg(F.flatten(F.collect_list("places")).alias("places"))
     both = rows.join(seeds, "row").select("row", "text", "places", "doc_id")
 
@@ -195,13 +192,13 @@ def merged(places: np.ndarray, window: int = WINDOW) -> list[tuple[int, int]]:
 def dedup(docs: DataFrame) -> DataFrame:
     """doc_id, kept (the words left, joined by one space), n_words, n_removed, of every row."""
     kind = docs.schema["doc_id"].dataType.simpleString()
-    # No row is null; saying so for both joins makes their shuffles of the texts the same one.
+    # No row is null.
     keyed = _numbered(docs).where("row is not null")
     rows = keyed.select("row", "text")
     n = rows.agg(F.sum(F.length("text")).alias("n")).first()["n"] or 0
     ranges = max(LEAST_RANGES, n // 36 // RANGE_ENTRIES)
     seeds = cut(repeated_anchors(rows, ranges))
-    gone = repeated_windows(keyed, seeds, ranges)
+    gone = cut(repeated_windows(keyed, seeds, ranges))
     gone = gone.groupBy("row").agg(F.flatten(F.collect_list("places")).alias("places"))
     both = keyed.join(gone, "row", "left").select("doc_id", "text", "places")
 
