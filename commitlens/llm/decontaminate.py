@@ -1,20 +1,20 @@
-"""Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
+"""Benchmark decontamination: n-gram seeds, then Smith-Waterman alignment.
 
 Words are runs of ASCII letters and digits and of code points above 127, in
-lower case (A-Z), so punctuation and line breaks don't matter. A pass over all
-documents counts in how many of them each word 4-gram of a benchmark item
-occurs. An item's seeds are its rare 4-grams: those in at most ``RARE``
-documents, or at most four times as many as the item's lower quartile, so an
-item that leaked into very many documents keeps its seeds and only phrases
-common beside it go. A second pass joins documents with items on seeds, and
-aligns each item with the stretch of the document around its seeds by
-Smith-Waterman (match 1, mismatch and gap -1/2, words compared by hash). An
-item is found in a document where score / words of the item >= ``THRESHOLD``:
-copies with about a third of the words edited still are.
-
-Items go in blocks of at most ``BLOCK_CHARS`` characters, each block to all
-executors in one pair of passes, so a benchmark of any size works and what is
-sent has a fixed bound. Only counts of a block's own n-grams come back.
+lower case (A-Z), so punctuation and line breaks don't matter. Every word
+4-gram of a benchmark item is a seed, however many documents hold it. A pass
+over the documents joins them with items on seeds, and aligns each item with
+the stretch of the document around its seeds by Smith-Waterman (match 1,
+mismatch and gap -1/2, words compared by hash). An item is found in a document
+where score / words of the item >= ``THRESHOLD``: copies with about a third of
+the words edited still are. Common phrases bring many documents that hold no
+copy; an exact bound goes first: words of the item that the text lacks can't
+match, so no stretch of the item scores more than 1 for each word that the
+text has and -1/2 for each that it lacks.
+
+Items go in blocks of about ``BLOCK_CHARS`` characters, each block to all
+executors in one pass, so a benchmark of any size works and what is sent has a
+fixed bound.
 
 Nulls and empty texts hold nothing and match nothing; items of fewer than four
 words have no seed and are never found. Rows with a null id keep it. Repeated
@@ -33,7 +33,6 @@ from commitlens.llm import textkit
 from commitlens.llm.shared import without
 
 N = 4
-RARE = 3
 THRESHOLD = 0.5
 BLOCK_CHARS = 4_000_000
 _BITS = 22
@@ -87,34 +86,9 @@ class Block:
         self.gram, self.item, self.place = grams[at][order], item[order], (at - self.first[item])[order]
         self.seeds, self.edge = np.unique(self.gram, return_index=True)
         self.edge = np.append(self.edge, len(self.gram))
-        self._filter()
-
-    def _filter(self) -> None:
         self.maybe = np.zeros(1 << _BITS, bool)
         self.maybe[(self.seeds >> np.uint64(64 - _BITS)).astype(np.int64)] = True
 
-    def rare(self, counts: dict[int, int]) -> Block:
-        """Without the n-grams that are common beside their items' others."""
-        n = np.array([counts.get(int(g), 0) for g in self.seeds.view(np.int64)])
-        each = np.repeat(n, np.diff(self.edge))
-        keep = np.zeros(len(each), bool)
-        for i in np.unique(self.item):
-            mine = self._of(i)
-            keep[mine] = each[mine] <= max(RARE, 4 * np.quantile(each[mine], 0.25))
-        del self._order, self._sorted
-        self.gram, self.item, self.place = self.gram[keep], self.item[keep], self.place[keep]
-        self.seeds, self.edge = np.unique(self.gram, return_index=True)
-        self.edge = np.append(self.edge, len(self.gram))
-        self._filter()
-        return self
-
-    def _of(self, i: int) -> np.ndarray:
-        if not hasattr(self, "_order"):
-            self._order = np.argsort(self.item, kind="stable")
-            self._sorted = self.item[self._order]
-        a, b = np.searchsorted(self._sorted, [i, i + 1])
-        return self._order[a:b]
-
     def hits(self, grams: np.ndarray, ok: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Places of the n-grams that are seeds, and which."""
         at = np.flatnonzero(ok & self.maybe[(grams >> np.uint64(64 - _BITS)).astype(np.int64)]) if len(self.seeds) else np.zeros(0, np.int64)
@@ -125,19 +99,14 @@ class Block:
         return at[good], k[good]
 
 
-def _counts(docs: DataFrame, block: Block) -> dict[int, int]:
-    def step(batches):
-        total = np.zeros(len(block.seeds), np.int64)
-        for b in textkit.slices(batches):
-            h, first = word_hashes(b.column(0))
-            at, k = block.hits(*textkit.ngrams(h, first, N))
-            text = np.searchsorted(first, at, side="right") - 1
-            total += np.bincount(np.unique(text * len(block.seeds) + k) % len(block.seeds), minlength=len(block.seeds)) if len(at) else 0
-        some = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(block.seeds[some].view(np.int64)), pa.array(total[some])], names=["gram", "n"])
-
-    rows = docs.select("text").mapInArrow(step, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")).toArrow()
-    return dict(zip(rows.column("gram").to_pylist(), rows.column("n").to_pylist(), strict=True))
+def _reachable(own: np.ndarray, size: np.ndarray, text: np.ndarray) -> np.ndarray:
+    """Of items with the words ``own``, ``size`` each, which the words of ``text`` let reach the threshold: an upper bound of the score, doubled."""
+    gain = np.where(np.isin(own, text), 2, -1)
+    after = np.cumsum(gain)
+    # Falls by more than any sum at each new item, so that the running minimum starts again.
+    fall = np.repeat(np.arange(len(size)), size) * (4 * len(own) + 1)
+    lowest = np.minimum.accumulate(after - gain - fall) + fall
+    return np.maximum.reduceat(after - lowest, np.cumsum(size) - size) >= 2 * THRESHOLD * size
 
 
 def _aligned(block: Block, h: np.ndarray, at: np.ndarray, k: np.ndarray, base: int):
@@ -148,13 +117,19 @@ def _aligned(block: Block, h: np.ndarray, at: np.ndarray, k: np.ndarray, base: i
     item, lead = block.item[entry], each - block.place[entry]
     order = np.lexsort((lead, item))
     item, lead = item[order], lead[order]
-    for i in np.unique(item).tolist():
-        mine = lead[item == i]
+    some, start = np.unique(item, return_index=True)
+    leads = np.split(lead, start[1:])
+    size = block.first[some + 1] - block.first[some]
+    words = block.words[np.repeat(block.first[some] - np.cumsum(size) + size, size) + np.arange(size.sum())]
+    for x in np.flatnonzero(_reachable(words, size, h)).tolist():
+        i, mine = int(some[x]), leads[x]
         own = block.words[block.first[i] : block.first[i + 1]]
         slack = max(8, len(own) // 2)
         best = (0.0, 0, 0)
         for part in np.split(mine, np.flatnonzero(np.diff(mine) > slack) + 1):
             a, b = max(0, int(part[0]) - slack), min(len(h), int(part[-1]) + len(own) + slack)
+            if not _reachable(own, size[x : x + 1], h[a:b])[0]:
+                continue
             score, start, end = smith_waterman(own, h[a:b])
             best = max(best, (score, -(a + start), a + end))
         if best[0] >= THRESHOLD * len(own):
@@ -175,7 +150,6 @@ def find(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         block = Block(mine.column("item_id").to_pylist(), mine.column("text"))
         if not len(block.seeds):
             continue
-        block = block.rare(_counts(docs, block))
         out = out.union(docs.select("doc_id", "text").mapInArrow(_matcher(block, schema), schema))
     return out
 

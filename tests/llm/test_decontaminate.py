@@ -1,6 +1,8 @@
 import random
 
 import numpy as np
+import pyarrow as pa
+import pytest
 
 from commitlens.llm import decontaminate as D
 
@@ -45,3 +47,35 @@ def test_empty(spark):
     docs, bench = spark.createDataFrame([], "doc_id long, text string"), spark.createDataFrame([], "item_id long, text string")
     one = spark.createDataFrame([(1, "a b c d e")], "doc_id long, text string")
     assert D.find(docs, bench).collect() == [] and D.find(one, bench).collect() == []
+
+
+@pytest.mark.parametrize("copies", [4, 1000])
+def test_the_same_edited_or_truncated_passage_in_many_documents(spark, copies):
+    item = [f"w{k}" for k in range(60)]
+    edit = [f"x{k}" if k % 15 == 7 else w for k, w in enumerate(item)]
+    passages = {0: " ".join(edit), 1: " ".join(item[:40])}
+    docs = [(2 * i + k, f"start{i} {passages[k]} end{i}") for i in range(copies) for k in passages]
+    found = {}
+    for k in passages:
+        df = spark.createDataFrame([d for d in docs if d[0] % 2 == k], "doc_id long, text string")
+        found[k] = {x.doc_id: x.score for x in D.find(df, spark.createDataFrame([(1, " ".join(item))], "item_id long, text string")).collect()}
+    assert found == {0: {2 * i: 0.9 for i in range(copies)}, 1: {2 * i + 1: 40 / 60 for i in range(copies)}}
+
+
+def test_common_phrases_seed_and_the_bound_loses_nothing(spark):
+    """Documents that share only a phrase of all documents with an item are aligned as well; results equal aligning all pairs."""
+    r = random.Random(6)
+    items = [(i, "which of the following is " + " ".join(f"v{r.randrange(30)}" for _ in range(r.randrange(0, 30)))) for i in range(8)]
+    docs = []
+    for i in range(150):
+        own = r.choice(items)[1].split()
+        docs.append((i, " ".join(w if k < 4 or r.random() > 0.35 else f"v{r.randrange(30)}" for k, w in enumerate(own) if k < 4 or r.random() > 0.1)))
+    got = {(x.doc_id, x.item_id): x.score for x in D.find(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    want = {}
+    for d, text in docs:
+        for i, item in items:
+            a, b = (D.word_hashes(pa.array([t]))[0] for t in (item, text))
+            score = D.smith_waterman(a, b)[0] / len(a)
+            if score >= D.THRESHOLD:
+                want[d, i] = score
+    assert got == want and len(want) > 150
