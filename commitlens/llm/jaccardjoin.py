@@ -252,8 +252,10 @@ def peeled(sets: DataFrame, ranges: int, part: int = 1 << 16) -> DataFrame:
     met = blobs.groupBy("bucket").applyInArrow(_met, "short long, shared long").groupBy("short").agg(F.sum("shared").alias("shared"))
     met = met.select((F.shiftright("short", 8) - 1).alias("rep"), F.col("short").bitwiseAND(255).cast("int").alias("band"), "shared")
     looked = F.size("features") if part == 1 << 16 else F.size(F.filter("features", lambda x: x.bitwiseAND(0xFFFF) < part))
-    own = sets.select("rep", F.size("features").alias("n"), looked.alias("looked"))
-    alive = met.join(own, "rep").where((F.col("looked") - F.col("shared")) * DEN <= F.col("n") * (DEN - NUM))
+    own = sets.select("rep", F.explode("bands").alias("band"), F.size("features").alias("n"), looked.alias("looked"))
+    # A set that met nothing has no row in ``met``; it may stay if few of its features were looked at.
+    none = F.coalesce("shared", F.lit(0))
+    alive = own.join(met, ["rep", "band"], "left").where((F.col("looked") - none) * DEN <= F.col("n") * (DEN - NUM))
     return alive.groupBy("rep").agg(F.sort_array(F.collect_set("band")).alias("bands"))
 
 
@@ -448,7 +450,8 @@ def groups(docs: DataFrame, words: int = WORDS) -> DataFrame:
     )
     one = one.withColumn("short", _short_column(F.col("class")))
     shared = shared_features(docs, ranges, words)
-    left = one.join(shared, "short").where((F.col("counted") - F.col("shared")) * DEN <= F.col("n") * (DEN - NUM)).select("rep", "class")
+    none = F.coalesce("shared", F.lit(0))
+    left = one.join(shared, "short", "left").where((F.col("counted") - none) * DEN <= F.col("n") * (DEN - NUM)).select("rep", "class")
     left = cut(left)
     few = F.broadcast(left) if left.count() <= BROADCAST_ROWS else left
     sets = cut(feature_sets(docs.join(few, few["rep"] == docs["doc_id"]).select("rep", "text", "class"), words).dropDuplicates(["rep"]))

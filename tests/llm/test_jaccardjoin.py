@@ -55,6 +55,20 @@ def test_against_all_pairs(spark, seed):
     assert sorted(tuple(r) for r in jaccardjoin.groups(df).collect()) == brute(docs)
 
 
+def test_short_near_copies(spark):
+    """Pairs of 3 to 12 shingles whose common features may all fall outside the counted part, with no other document like them."""
+    r = random.Random(9)
+    docs = []
+    for i in range(400):
+        base = [f"d{i}w{r.randrange(10**6)}" for _ in range(r.randrange(8, 17))]
+        m = len(base) - 4
+        docs += [(2 * i, " ".join(base)), (2 * i + 1, " ".join(base[: len(base) - r.randrange(1, m // 4 + 1)]))]
+    want = brute(docs)
+    assert all(c == i - i % 2 for i, _, c in want)
+    got = jaccardjoin.groups(spark.createDataFrame(docs, "doc_id long, text string"))
+    assert sorted(tuple(x) for x in got.collect()) == want
+
+
 def test_part_enum_shares_a_signature():
     """All pairs at or above the threshold share one, over many sizes and differences."""
     r = np.random.default_rng(5)
