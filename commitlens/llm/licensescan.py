@@ -16,7 +16,9 @@ Pairs that pass are verified by the size of the intersection. Documents
 without any prefix token are set aside before their blocks are made.
 
 A block is a line, and of a line of more than ``BLOCK`` words each window of
-``BLOCK`` words at steps of half of that. Words are runs of 0-9, a-z (A-Z in
+``BLOCK`` words at steps of half of that. The words of the whole text give
+windows in the same way, line breaks being separators, so a notice that is
+wrapped lies whole in some block. Words are runs of 0-9, a-z (A-Z in
 lower case) and all code points above 127.
 
 The template list is fixed, so the vocabulary, whose document counts are read
@@ -104,8 +106,10 @@ def token_counts(docs: DataFrame, vocabulary: list[str]) -> dict[str, int]:
 
 
 def _blocks(text: Column) -> Column:
-    """The words of each block."""
-    lines = F.transform(F.split(text, "\n"), lambda x: F.array_remove(F.split(F.trim(F.regexp_replace(x, SEPARATORS, " ")), " "), ""))
+    """The words of each block: of lines, and of a text of several lines as a whole."""
+    parts = F.split(text, "\n")
+    parts = F.when(F.size(parts) > 1, F.concat(parts, F.array(text))).otherwise(parts)
+    lines = F.transform(parts, lambda x: F.array_remove(F.split(F.trim(F.regexp_replace(x, SEPARATORS, " ")), " "), ""))
     half = BLOCK // 2
     cut = lambda w: F.transform(
         F.sequence(F.lit(0), F.greatest(F.lit(0), F.ceil((F.size(w) - BLOCK) / half).cast("int"))),

@@ -1,5 +1,6 @@
 import random
 import re
+import textwrap
 
 import pytest
 
@@ -47,6 +48,22 @@ def test_against_all_blocks(spark):
     assert sorted(rows, key=key) == sorted(((i, *brute(t)) for i, t in docs), key=key)
 
 
+def test_wrapped_notices(spark):
+    """Every template, wrapped at 72 and at 30 characters, alone and at any place of a long text, with comment signs."""
+    docs, want = [], {}
+    for k, (t, label) in enumerate(L.TEMPLATES):
+        for width in (72, 30):
+            for before in (0, 5, 29, 50, 70, 333):
+                text = "\n".join(" * " + x for x in textwrap.wrap("pad " * before + t + " pad" * 40, width))
+                want[len(docs)] = label
+                docs.append((len(docs), text))
+    wrapped = "Permission is hereby granted, free of charge, to any person obtaining a copy\nof this software and associated documentation files"
+    want[len(docs)] = "mit"
+    docs.append((len(docs), wrapped))
+    rows = {x.doc_id: x for x in L.scan(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert all(want[i] in x.labels.split(",") and x.score == 1.0 for i, x in rows.items()) and len(rows) == len(docs)
+
+
 def test_native_plan(spark):
     df = spark.createDataFrame([(1, "mit license")], "doc_id long, text string")
     assert not re.search("Python|Pandas|Arrow", L.scan(df)._jdf.queryExecution().executedPlan().toString())
