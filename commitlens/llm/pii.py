@@ -70,7 +70,7 @@ ENTITY = (
     r"(?<![\p{L}\p{N}_])(?:" + "|".join((EMAIL, IBAN, rf"(?<![.]){IP}(?![.][0-9])", CARD, SSN, PHONE, rf"(?=\p{{Lu}}){NAME}")) + r")(?![\p{L}\p{N}_])"
 )
 #: Any entity has one of these; texts without are not searched further.
-HINT = r"@|[0-9]{3}|[0-9]\.[0-9]|(?=\p{Lu})(?<![\p{L}\p{N}_])(?:" + "|".join(TITLES) + "|" + _ALL_GIVEN + r")[. ]"
+HINT = r"@|[0-9]{3}|[0-9]\.[0-9]|\+[0-9]|[A-Z]{2}[0-9]{2}|(?=\p{Lu})(?<![\p{L}\p{N}_])(?:" + "|".join(TITLES) + "|" + _ALL_GIVEN + r")[. ]"
 
 
 def entity_type(value: Column) -> Column:

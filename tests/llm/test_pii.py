@@ -42,6 +42,15 @@ def test_types_formats_and_coreference(spark):
     assert swap(spark, TEXTS) == out and swap(spark, TEXTS, key="other") != out
 
 
+def test_every_branch_alone_in_a_text(spark):
+    alone = [("email", "a@b.co"), ("iban", "GB12 ABCD EFGH IJKL"), ("ip", "1.2.3.4"), ("card", "4111 1111 1111 1111"), ("card", "371449635398431"), ("ssn", "123-45-6789")]
+    alone += [("phone", x) for x in ("+45 12 34 56 78", "+47 22 12 34 56", "+49 30 12 34 56", "+1 (31) 55 51", "+4512", "+45 12 34", "(319) 555-5132", "319.555.5132") if re.fullmatch(pii.PHONE, x)]
+    alone += [("name", x) for x in ("Mrs. Cole", "Ms Cole", "Anna Cole", "Иван Петров")]
+    assert len(alone) >= 17
+    for (kind, value), (text, kinds) in zip(alone, swap(spark, [f"see {v} ok" for _, v in alone]), strict=True):
+        assert kinds == [kind] and value not in text, value
+
+
 def test_collisions_are_resolved(spark):
     """Local parts of one letter leave 26 surrogates for 20 entities of a domain: all must stay distinct, and none an original."""
     texts = [f"{c}@x.org and more" for c in "abcdefghijklm"] + ["a@x.org again"]
