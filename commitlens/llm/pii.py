@@ -20,7 +20,11 @@ surrogate in every document):
 Distinctness: two entities of a type may get the same surrogate by chance, or
 one that is itself an entity of the corpus. After a first pass over all
 documents such entities are found by a join on (type, surrogate); all but the
-least of them take their key's next attempt, until none is left. Documents
+least of them take their key's next attempt, until none is left. Where a small
+space of short mailboxes or phones is too full for that, those left after
+``MAX_ATTEMPTS`` rounds take longer surrogates: letters more at the end of a
+local part, a group of digits more in a phone. If even then some are left, the
+job ends with an error. Documents
 with such entities get their exceptions by a join; all others need none.
 
 Nulls and empty texts stay as they are, with no entity. Repeated rows each get
@@ -40,6 +44,8 @@ from commitlens.llm.shared import cut
 
 KEY = "surrogate-key"
 MAX_ATTEMPTS = 24
+#: Rounds with longer surrogates after these.
+LONGER_ATTEMPTS = 8
 
 # Given names by script and gender, and titles by gender.
 GIVEN = {
@@ -174,7 +180,11 @@ def surrogate(kind: Column, value: Column, attempt: Column, key: str = KEY) -> C
     at = F.instr(value, "@")
     local, domain = F.substr(value, F.lit(1), at - 1), F.substring_index(value, "@", -1)
     label = F.substring_index(domain, ".", 1)
-    email = F.concat(_same_kind(stem, local, True), F.lit("@"), _same_kind(F.concat(F.lit(f"{key}|domain|"), F.lower(domain)), label, True), F.substr(domain, F.length(label) + 1, F.length(domain)))
+    longer = attempt - MAX_ATTEMPTS
+    letters = F.translate(F.sha2(F.concat(stem, F.lit(":longer")), 256), DIGITS, "ghijklmnop")
+    letters = F.when(longer > 0, F.substr(letters, F.lit(1), 4 * longer)).otherwise("")
+    group = F.when(longer > 0, F.concat(F.lit("-"), F.lpad(_number(stem, 1000, 10000).cast("string"), 4, "0"))).otherwise("")
+    email = F.concat(_same_kind(stem, local, True), letters, F.lit("@"), _same_kind(F.concat(F.lit(f"{key}|domain|"), F.lower(domain)), label, True), F.substr(domain, F.length(label) + 1, F.length(domain)))
     ip = F.concat_ws(".", *[(_number(stem, k, 254) + 1).cast("string") for k in range(4)])
     code = F.length(F.regexp_extract(value, r"^\+([0-9]+)[ .(-]", 1))
     iban = F.concat(F.substr(value, F.lit(1), F.lit(2)), _same_kind(stem, F.substr(value, F.lit(3), F.length(value))))
@@ -183,7 +193,7 @@ def surrogate(kind: Column, value: Column, attempt: Column, key: str = KEY) -> C
         .when(kind == "ip", ip)
         .when(kind == "card", _card(stem, value))
         .when(kind == "ssn", _digits(stem, value, F.lit(0)))
-        .when(kind == "phone", _digits(stem, value, code))
+        .when(kind == "phone", F.concat(_digits(stem, value, code), group))
         .when(kind == "iban", iban)
         .otherwise(_name(key, value, attempt))
     )
@@ -202,7 +212,7 @@ def exceptions(docs: DataFrame, key: str = KEY) -> DataFrame:
     taken = cut(taken.withColumn("surrogate", surrogate(F.col("kind"), F.col("value"), F.col("attempt"), key)))
     originals = taken.select("kind", F.col("value").alias("surrogate"), F.lit(True).alias("original"))
     moved = None
-    for _ in range(MAX_ATTEMPTS):
+    for n in range(MAX_ATTEMPTS + LONGER_ATTEMPTS):
         # Forms, not spellings, must differ: spellings of one entity move together.
         shared = taken.groupBy("kind", "surrogate").agg(F.min("form").alias("least"), F.max("form").alias("most"))
         clash = taken.join(shared, ["kind", "surrogate"]).join(originals, ["kind", "surrogate"], "left")
@@ -211,9 +221,13 @@ def exceptions(docs: DataFrame, key: str = KEY) -> DataFrame:
         if not clash.limit(1).count():
             break
         moved = True
-        taken = taken.join(clash, ["kind", "form"], "left").withColumn("attempt", F.col("attempt") + F.coalesce("again", F.lit(0))).drop("again")
+        least = 0 if n < MAX_ATTEMPTS else MAX_ATTEMPTS + 1
+        after = F.when(F.col("again").isNull(), F.col("attempt")).otherwise(F.greatest(F.col("attempt") + 1, F.lit(least)))
+        taken = taken.join(clash, ["kind", "form"], "left").withColumn("attempt", after).drop("again")
         again = surrogate(F.col("kind"), F.col("value"), F.col("attempt"), key)
         taken = cut(taken.select("kind", "value", "form", "attempt", F.when(F.col("attempt") > 0, again).otherwise(F.col("surrogate")).alias("surrogate")))
+    else:
+        raise RuntimeError("entities still share surrogates after the last round")
     return taken.where("attempt > 0").select("value", "surrogate") if moved else None
 
 

@@ -58,6 +58,17 @@ def test_collisions_are_resolved(spark):
     assert len(set(out)) == 13 and out[0] == out[13]
 
 
+def test_full_spaces_get_longer_surrogates(spark, monkeypatch):
+    """All mailboxes of one letter in all domains of one letter: every surrogate of that shape is an original."""
+    monkeypatch.setattr(pii, "MAX_ATTEMPTS", 2)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    texts = [f"{a}@{b}.org" for a in letters for b in letters] + ["A@a.org"]
+    out = [t for t, _ in swap(spark, texts)]
+    assert len(set(out[:-1])) == 676 and not set(out) & set(texts) and out[-1].lower() == out[0]
+    value = pii.surrogate(F.lit("phone"), F.lit("+1 12 34"), F.lit(3)).alias("v")
+    assert re.fullmatch(r"\+1 \d\d \d\d-\d{4}", spark.range(1).select(value).first().v)
+
+
 def test_native_and_clashing_columns(spark):
     df = spark.createDataFrame([(1, "to a.b@c.org", "x")], "doc_id long, text string, found string").withColumn("new", F.lit(1)).withColumn("special", F.lit(2)).withColumn("kinds", F.lit(3))
     out = pii.keep_columns(df)
