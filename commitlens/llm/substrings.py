@@ -20,13 +20,19 @@ input.
 3. *Maximal repeats.* Repeats of a document that overlap or touch are merged
    into ranges, and the ranges' words removed.
 
-Hashes have 64 bits; equal windows always meet, unequal ones by chance of
-2^-64 a pair.
-
-Nulls and texts of fewer words than a window lose nothing. Rows of equal
-doc_id are one after the other in the order of their texts' hashes; a null
-doc_id comes after all others. Rows equal in both are copies: the first keeps
-its words. An empty table gives an empty result.
+Texts move only where they must: those with a repeated anchor once, those that
+lose words once more (where the ids of these are too many to send, all texts).
+
+Windows are compared by 96 bits of two hashes; equal windows always meet,
+unequal ones by chance of 2^-96 a pair: among 10^13 windows, with a chance of
+about one in a thousand anywhere.
+
+Nulls, empty texts and texts of fewer words than a window lose nothing. A long
+text is one step by itself, in time and memory in proportion to it. Any type of
+doc_id that can be ordered will do. Rows of equal doc_id are one after the
+other in the order of their texts' hashes; a null doc_id comes after all
+others. Rows equal in both are copies: the first keeps its words. Other columns,
+whatever their names, are not looked at. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -36,14 +42,15 @@ import hashlib
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from commitlens.llm import textkit
-from commitlens.llm.shared import cut
+from commitlens.llm.packed import SCHEMA, pack, unpack
+from commitlens.llm.shared import BROADCAST_ROWS, cut, numbered, release
 
 WINDOW = 20
 SEED = 10
+_SECOND = np.uint64(0xD1B54A32D192ED03)
 RANGE_ENTRIES = 1_000_000
 LEAST_RANGES = 64
 
@@ -68,27 +75,6 @@ def anchors(h: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, n
     return picked, grams[picked], windows, place[windows]
 
 
-def _blobs(bucket: np.ndarray, *columns: np.ndarray) -> pa.RecordBatch:
-    order = np.argsort(bucket, kind="stable")
-    bucket, columns = bucket[order], [c[order] for c in columns]
-    cuts = np.flatnonzero(np.diff(bucket)) + 1
-    edges = [0, *cuts.tolist(), len(bucket)] if len(bucket) else [0]
-    names = [int(bucket[a]) for a in edges[:-1]]
-    blobs = [np.uint64(b - a).tobytes() + b"".join(c[a:b].tobytes() for c in columns) for a, b in zip(edges, edges[1:], strict=False)]
-    return pa.RecordBatch.from_arrays([pa.array(names, pa.int32()), pa.array(blobs, pa.binary())], names=["bucket", "blob"])
-
-
-def _columns(table: pa.Table, *kinds) -> list[np.ndarray]:
-    parts: list[list[np.ndarray]] = [[] for _ in kinds]
-    for blob in table.column("blob"):
-        raw = blob.as_buffer()
-        n, at = int(np.frombuffer(raw, np.uint64, 1)[0]), 8
-        for part, kind in zip(parts, kinds, strict=True):
-            part.append(np.frombuffer(raw, kind, n, at))
-            at += n * np.dtype(kind).itemsize
-    return [np.concatenate(p) if p else np.zeros(0, k) for p, k in zip(parts, kinds, strict=True)]
-
-
 _PLACES = "row long, places array<int>"
 
 
@@ -124,10 +110,10 @@ def repeated_anchors(rows: DataFrame, ranges: int) -> DataFrame:
             row, place = np.concatenate((row, np.zeros(len(tell), np.int64))), np.concatenate((place, np.full(len(tell), -1, np.int32)))
             kind = np.concatenate((kind, np.full(len(tell), 2, np.uint8)))
             order = np.argsort(row, kind="stable")
-            yield _blobs(bucket[order], what[order], row[order], place[order], kind[order])
+            yield pack(bucket[order], what[order], row[order], place[order], kind[order])
 
     def meet(table: pa.Table) -> pa.Table:
-        what, row, place, kind = _columns(table, np.uint64, np.int64, np.int32, np.uint8)
+        what, row, place, kind = unpack(table, np.uint64, np.int64, np.int32, np.uint8)
         open_ = np.flatnonzero(kind != 1)
         order = open_[np.argsort(what[open_], kind="stable")]
         w = what[order]
@@ -138,13 +124,13 @@ def repeated_anchors(rows: DataFrame, ranges: int) -> DataFrame:
         good = np.concatenate((good[kind[good] == 0], np.flatnonzero(kind == 1)))
         return _grouped(row[good], place[good])
 
-    return rows.select("row", "text").mapInArrow(step, "bucket int, blob binary").groupBy("bucket").applyInArrow(meet, _PLACES)
+    return rows.select("row", "text").mapInArrow(step, SCHEMA).groupBy("bucket").applyInArrow(meet, _PLACES)
 
 
 def repeated_windows(rows: DataFrame, seeds: DataFrame, ranges: int) -> DataFrame:
     """row, places: where a row's windows start that also stand earlier. ``row`` orders the documents."""
-    seeds = seeds.groupBy("row").agg(F.flatten(F.collect_list("places")).alias("places"))
-    both = rows.join(seeds, "row").select("row", "text", "places", "doc_id")
+    lists = seeds.groupBy("row").agg(F.flatten(F.collect_list("places")).alias("places"))
+    both = _held(rows, seeds).join(lists, "row").select("row", "text", "places")
 
     def step(batches):
         for b in textkit.slices(batches):
@@ -152,33 +138,52 @@ def repeated_windows(rows: DataFrame, seeds: DataFrame, ranges: int) -> DataFram
             starts, ends, first = textkit.words(buf, offs)
             h = textkit.hash_spans(buf, starts, ends)
             _, _, w, anchor = anchors(h, first)
-            whole, _ = textkit.ngrams(h, first, WINDOW)
             lists = b.column(2)
             values, o = lists.flatten().to_numpy(zero_copy_only=False), np.concatenate(([0], np.cumsum([len(x) for x in lists])))
             hit = np.zeros(len(h) + 1, bool)
             hit[values.astype(np.int64) + np.repeat(first[:-1], np.diff(o))] = True
             # A window whose own anchor doesn't repeat can't repeat.
             w = w[hit[anchor]]
+            whole = textkit.ngrams(h, first, WINDOW)[0][w]
+            more = (textkit.ngrams(textkit.mix(h ^ _SECOND), first, WINDOW)[0][w] >> np.uint64(32)).astype(np.uint32)
             text = np.searchsorted(first, w, side="right") - 1
-            row, place, what = b.column(0).to_numpy(zero_copy_only=False)[text], (w - first[text]).astype(np.int32), whole[w]
+            row, place = b.column(0).to_numpy(zero_copy_only=False)[text], (w - first[text]).astype(np.int32)
             # Of equal windows here all but the first are settled; the first one is sent to meet the others.
-            order = np.lexsort((place, row, what))
-            what, row, place = what[order], row[order], place[order]
-            new = np.concatenate(([True], what[1:] != what[:-1])) if len(what) else np.zeros(0, bool)
-            bucket = np.where(new, what, textkit.mix(row.astype(np.uint64))) % np.uint64(ranges)
+            order = np.lexsort((place, row, more, whole))
+            whole, more, row, place = whole[order], more[order], row[order], place[order]
+            new = _new(whole, more)
+            bucket = np.where(new, whole, textkit.mix(row.astype(np.uint64) + place.astype(np.uint64))) % np.uint64(ranges)
             order = np.argsort(row, kind="stable")
-            yield _blobs(bucket.astype(np.int32)[order], what[order], row[order], place[order], (~new).astype(np.uint8)[order])
+            yield pack(bucket.astype(np.int32)[order], whole[order], more[order], row[order], place[order], (~new).astype(np.uint8)[order])
 
     def meet(table: pa.Table) -> pa.Table:
-        what, row, place, settled = _columns(table, np.uint64, np.int64, np.int32, np.uint8)
+        whole, more, row, place, settled = unpack(table, np.uint64, np.uint32, np.int64, np.int32, np.uint8)
         open_ = np.flatnonzero(settled == 0)
-        order = open_[np.lexsort((place[open_], row[open_], what[open_]))]
-        w = what[order]
-        later = order[np.concatenate(([False], w[1:] == w[:-1]))] if len(w) else order
+        order = open_[np.lexsort((place[open_], row[open_], more[open_], whole[open_]))]
+        later = order[~_new(whole[order], more[order])]
         good = np.concatenate((later, np.flatnonzero(settled == 1)))
         return _grouped(row[good], place[good])
 
-    return both.mapInArrow(step, "bucket int, blob binary").groupBy("bucket").applyInArrow(meet, _PLACES)
+    return both.mapInArrow(step, SCHEMA).groupBy("bucket").applyInArrow(meet, _PLACES)
+
+
+def _new(whole: np.ndarray, more: np.ndarray) -> np.ndarray:
+    """Of sorted pairs: where another pair begins."""
+    return np.concatenate(([True], (whole[1:] != whole[:-1]) | (more[1:] != more[:-1]))) if len(whole) else np.zeros(0, bool)
+
+
+def _held(rows: DataFrame, places: DataFrame, kind: str = "left_semi") -> DataFrame:
+    """The rows named in ``places`` (or, with left_anti, the others), before their texts go through a shuffle.
+
+    Only where the names are few enough to send; else all rows, which the join that follows deals with itself.
+    """
+    ids = _few(places)
+    return rows.join(F.broadcast(ids), "row", kind) if ids is not None else rows
+
+
+def _few(places: DataFrame) -> DataFrame | None:
+    ids = places.select("row").distinct()
+    return ids if ids.count() <= BROADCAST_ROWS else None
 
 
 def merged(places: np.ndarray, window: int = WINDOW) -> list[tuple[int, int]]:
@@ -191,16 +196,26 @@ def merged(places: np.ndarray, window: int = WINDOW) -> list[tuple[int, int]]:
 
 def dedup(docs: DataFrame) -> DataFrame:
     """doc_id, kept (the words left, joined by one space), n_words, n_removed, of every row."""
+    spark = docs.sparkSession
     kind = docs.schema["doc_id"].dataType.simpleString()
     # No row is null.
-    keyed = _numbered(docs).where("row is not null")
+    keyed = _ordered(docs).where("row is not null")
     rows = keyed.select("row", "text")
     n = rows.agg(F.sum(F.length("text")).alias("n")).first()["n"] or 0
     ranges = max(LEAST_RANGES, n // 36 // RANGE_ENTRIES)
     seeds = cut(repeated_anchors(rows, ranges))
-    gone = cut(repeated_windows(keyed, seeds, ranges))
-    gone = gone.groupBy("row").agg(F.flatten(F.collect_list("places")).alias("places"))
-    both = keyed.join(gone, "row", "left").select("doc_id", "text", "places")
+    release(spark)
+    gone = cut(repeated_windows(rows, seeds, ranges))
+    del seeds
+    release(spark)
+    lists = gone.groupBy("row").agg(F.flatten(F.collect_list("places")).alias("places"))
+    none = F.lit(None).cast("array<int>").alias("places")
+    if (ids := _few(gone)) is not None:
+        # Only texts that lose words go through a shuffle.
+        touched = keyed.join(F.broadcast(ids), "row", "left_semi").join(lists, "row", "left").select("doc_id", "text", "places")
+        both = keyed.join(F.broadcast(ids), "row", "left_anti").select("doc_id", "text", none).union(touched)
+    else:
+        both = keyed.join(lists, "row", "left").select("doc_id", "text", "places")
 
     def step(batches):
         for b in textkit.slices(batches):
@@ -224,20 +239,15 @@ def dedup(docs: DataFrame) -> DataFrame:
     return both.mapInArrow(step, f"doc_id {kind}, kept string, n_words long, n_removed long")
 
 
-def _numbered(docs: DataFrame) -> DataFrame:
-    """doc_id, text, row: doc_id itself where no two rows share one and none is null; else a number in their order."""
+def _ordered(docs: DataFrame) -> DataFrame:
+    """doc_id, text, row: an integer doc_id itself where no two rows share one and none is null; else a number in the rows' order."""
     docs = docs.select("doc_id", "text")
-    plain = docs.agg(F.count("*").alias("n"), F.count("doc_id").alias("ids")).first()
-    twice = docs.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").limit(1).count()
-    if not twice and plain["n"] == plain["ids"]:
-        return docs.withColumn("row", F.col("doc_id").cast("long"))
-    # Places in the order by ranges: a sorted table's partitions, with the sizes of those before.
-    hashed = cut(docs.withColumn("_text", F.xxhash64("text")).orderBy(F.col("doc_id").asc_nulls_last(), "_text", "text"))
-    at = hashed.withColumn("_part", F.spark_partition_id()).withColumn("_id", F.monotonically_increasing_id())
-    sizes = at.groupBy("_part").agg(F.count("*").alias("_n"), F.min("_id").alias("_first"))
-    before = F.coalesce(F.sum("_n").over(W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    at = at.join(F.broadcast(sizes.withColumn("_before", before).drop("_n")), "_part")
-    return at.select("doc_id", "text", (F.col("_id") - F.col("_first") + F.col("_before")).alias("row"))
+    if docs.schema["doc_id"].dataType.simpleString() in ("tinyint", "smallint", "int", "bigint"):
+        plain = docs.agg(F.count("*").alias("n"), F.count("doc_id").alias("ids")).first()
+        twice = docs.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").limit(1).count()
+        if not twice and plain["n"] == plain["ids"]:
+            return docs.withColumn("row", F.col("doc_id").cast("long"))
+    return numbered(docs.orderBy(F.col("doc_id").asc_nulls_last(), F.xxhash64("text"), "text"), "row")
 
 
 def op4(spark, sf_dir: str) -> DataFrame:
