@@ -47,7 +47,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from commitlens.llm import textkit
-from commitlens.llm.shared import BROADCAST_ROWS, components, cut, without
+from commitlens.llm.packed import SCHEMA, pack, unpack
+from commitlens.llm.shared import components, cut, numbered, release, small, without
 
 WORDS = 5
 #: Linked: DEN * intersection >= NUM * union.
@@ -59,8 +60,10 @@ RANGE_ENTRIES = 1_000_000
 LEAST_RANGES = 64
 #: Differences that a first-level part may have, and its second-level parts.
 K2, N2 = 1, 3
-#: Members of a hub that are one side of a group.
-CHUNK = 512
+#: Members of a hub that are one side of a group at most, and bytes of their sketches.
+CHUNK, CHUNK_BYTES = 4096, 8 << 20
+#: Peeling ends when a round over the whole domain leaves this share of the features, or more.
+LITTLE = 0.9
 
 
 def _domain(features: np.ndarray) -> np.ndarray:
@@ -92,30 +95,6 @@ def _short(digest: bytes) -> int:
     return int.from_bytes(digest[:8], "little") | 1
 
 
-def _packed(bucket: np.ndarray, *columns: np.ndarray):
-    """Blobs by bucket: for each column its bytes, after the number of rows."""
-    order = np.argsort(bucket, kind="stable")
-    bucket, columns = bucket[order], [c[order] for c in columns]
-    cuts = np.flatnonzero(np.diff(bucket)) + 1
-    edges = [0, *cuts.tolist(), len(bucket)] if len(bucket) else [0]
-    names, blobs = [], []
-    for a, b in zip(edges, edges[1:], strict=False):
-        names.append(int(bucket[a]))
-        blobs.append(np.uint64(b - a).tobytes() + b"".join(c[a:b].tobytes() for c in columns))
-    return pa.RecordBatch.from_arrays([pa.array(names, pa.int32()), pa.array(blobs, pa.binary())], names=["bucket", "blob"])
-
-
-def _unpacked(table: pa.Table, *kinds) -> list[np.ndarray]:
-    parts: list[list[np.ndarray]] = [[] for _ in kinds]
-    for blob in table.column("blob"):
-        raw = blob.as_buffer()
-        n, at = int(np.frombuffer(raw, np.uint64, 1)[0]), 8
-        for part, kind in zip(parts, kinds, strict=True):
-            part.append(np.frombuffer(raw, kind, n, at))
-            at += n * np.dtype(kind).itemsize
-    return [np.concatenate(p) if p else np.zeros(0, k) for p, k in zip(parts, kinds, strict=True)]
-
-
 def _combined(features: np.ndarray, name: np.ndarray, ranges: int) -> pa.RecordBatch:
     """Blobs of features and whose they are, by range. A feature of several names is one entry, named 0, and is counted for its names here."""
     what = features >> np.uint64(16)
@@ -132,12 +111,12 @@ def _combined(features: np.ndarray, name: np.ndarray, ranges: int) -> pa.RecordB
     is_count = np.concatenate((np.zeros(len(what), np.uint8), np.ones(len(known), np.uint8)))
     what, name = np.concatenate((what, count.astype(np.uint64))), np.concatenate((name, known))
     order = np.argsort(name, kind="stable")
-    return _packed(bucket[order], *_narrow(what[order]), name[order], is_count[order])
+    return pack(bucket[order], *_narrow(what[order]), name[order], is_count[order])
 
 
 def _met(table: pa.Table) -> pa.Table:
     """Short, shared: for every name how many of its features have another name beside it."""
-    low, high, name, is_count = _unpacked(table, np.uint32, np.uint16, np.uint64, np.uint8)
+    low, high, name, is_count = unpack(table, np.uint32, np.uint16, np.uint64, np.uint8)
     what = low.astype(np.uint64) | high.astype(np.uint64) << np.uint64(32)
     said = is_count == 1
     names, counts = [name[said]], [what[said].astype(np.int64)]
@@ -174,7 +153,7 @@ def shared_features(docs: DataFrame, ranges: int, words: int = WORDS) -> DataFra
             name = np.repeat(np.array(list(own), np.uint64), [len(x) for x in own.values()])
             yield _combined(np.concatenate(list(own.values())), name, ranges)
 
-    blobs = docs.select("text").mapInArrow(step, "bucket int, blob binary")
+    blobs = docs.select("text").mapInArrow(step, SCHEMA)
     met = blobs.groupBy("bucket").applyInArrow(_met, "short long, shared long")
     return met.groupBy("short").agg(F.sum("shared").alias("shared"))
 
@@ -248,7 +227,7 @@ def peeled(sets: DataFrame, ranges: int, part: int = 1 << 16) -> DataFrame:
         if whats:
             yield _combined(np.concatenate(whats), np.concatenate(names).view(np.uint64), ranges)
 
-    blobs = sets.select("rep", "features", "bands").mapInArrow(step, "bucket int, blob binary")
+    blobs = sets.select("rep", "features", "bands").mapInArrow(step, SCHEMA)
     met = blobs.groupBy("bucket").applyInArrow(_met, "short long, shared long").groupBy("short").agg(F.sum("shared").alias("shared"))
     met = met.select((F.shiftright("short", 8) - 1).alias("rep"), F.col("short").bitwiseAND(255).cast("int").alias("band"), "shared")
     looked = F.size("features") if part == 1 << 16 else F.size(F.filter("features", lambda x: x.bitwiseAND(0xFFFF) < part))
@@ -271,17 +250,17 @@ def runs(sets: DataFrame, ranges: int) -> DataFrame:
                     sigs.append(part_enum(own, band))
                     who.append(np.full(len(sigs[-1]), rep, np.int64))
                 if sum(map(len, sigs)) > 2_000_000:
-                    yield pack(sigs, who)
+                    yield blobs_of(sigs, who)
                     sigs, who = [], []
         if sigs:
-            yield pack(sigs, who)
+            yield blobs_of(sigs, who)
 
-    def pack(sigs, who):
+    def blobs_of(sigs, who):
         sig, name = np.concatenate(sigs), np.concatenate(who)
-        return _packed((sig % np.uint64(ranges)).astype(np.int32), sig, name)
+        return pack((sig % np.uint64(ranges)).astype(np.int32), sig, name)
 
     def meet(table: pa.Table) -> pa.Table:
-        sig, who = _unpacked(table, np.uint64, np.int64)
+        sig, who = unpack(table, np.uint64, np.int64)
         order = np.lexsort((who, sig))
         sig, who = sig[order], who[order]
         if len(sig):
@@ -300,7 +279,7 @@ def runs(sets: DataFrame, ranges: int) -> DataFrame:
             return pa.table({"sig": name.view(np.int64), "reps": pa.array(lists, pa.list_(pa.int64()))})
         return pa.table({"sig": pa.array([], pa.int64()), "reps": pa.array([], pa.list_(pa.int64()))})
 
-    blobs = sets.select("rep", "features", "bands").mapInArrow(step, "bucket int, blob binary")
+    blobs = sets.select("rep", "features", "bands").mapInArrow(step, SCHEMA)
     met = blobs.groupBy("bucket").applyInArrow(meet, "sig long, reps array<long>")
     return met.dropDuplicates(["sig"]).select("sig", F.explode("reps").alias("rep"))
 
@@ -373,15 +352,19 @@ def near_pairs(member: DataFrame, sets: DataFrame) -> DataFrame:
     bound on sketches lets through.
 
     Of two such members one at least is outside the hub's own component. Those outside and all members go
-    in chunks of about ``CHUNK`` each, and a chunk of either is a group, so that no group is large; in it
+    in chunks of about ``CHUNK`` or ``CHUNK_BYTES``, and a chunk of either is a group, so that no group is large; in it
     only pairs that pass come into being.
     """
-    own = F.max(F.when(F.col("rep") == F.col("hub"), F.col("component")))
-    size = member.groupBy("hub").agg(F.count("*").alias("n"), own.alias("main")).join(member, "hub").groupBy("hub", "n", "main")
-    size = size.agg(F.count(F.when(F.col("component") != F.col("main"), 1)).alias("outside")).where("outside > 0")
-    chunks = lambda c: F.ceil(F.col(c) / CHUNK).cast("int")
-    size = size.select("hub", "main", chunks("n").alias("cols"), chunks("outside").alias("lines"))
-    rows = member.join(size, "hub").join(sets.select("rep", F.size("features").alias("n"), "sketch"), "rep")
+    slim = sets.select("rep", F.size("features").alias("n"), "sketch")
+    main = cut(member.where("rep = hub").select("hub", F.col("component").alias("main")))
+    member = member.join(small(main), "hub").join(sets.select("rep", (F.size("sketch") * 8).alias("bytes")), "rep")
+    out = F.col("component") != F.col("main")
+    size = member.groupBy("hub").agg(
+        F.count("*").alias("n"), F.sum("bytes").alias("b"), F.count(F.when(out, 1)).alias("n_out"), F.sum(F.when(out, F.col("bytes"))).alias("b_out")
+    )
+    chunks = lambda n, b: F.greatest(F.ceil(F.col(n) / CHUNK), F.ceil(F.col(b) / CHUNK_BYTES)).cast("int")
+    size = cut(size.where("n_out > 0").select("hub", chunks("n", "b").alias("cols"), chunks("n_out", "b_out").alias("lines")))
+    rows = member.join(small(size), "hub").join(slim, "rep")
     keep = ["hub", "rep", "component", "n", "sketch"]
     part = lambda c: F.pmod(F.xxhash64("rep"), F.col(c)).cast("int")
     every = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
@@ -441,35 +424,57 @@ def linked_components(run: DataFrame, sets: DataFrame) -> DataFrame | None:
 
 def groups(docs: DataFrame, words: int = WORDS) -> DataFrame:
     """doc_id, n_shingles, component_id of every document."""
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    spark = docs.sparkSession
+    docs = docs.select("doc_id", "text")
     every = cut(classes(docs, words))
     total = every.agg(F.sum("counted").alias("n")).first()["n"] or 0
-    ranges = max(LEAST_RANGES, total // RANGE_ENTRIES)
     one = every.where("class is not null and doc_id is not null").groupBy("class").agg(
-        F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("counted").alias("counted")
+        F.min("doc_id").alias("least"), F.first("n_shingles").alias("n"), F.first("counted").alias("counted"), F.count("*").alias("copies")
     )
-    one = one.withColumn("short", _short_column(F.col("class")))
+    left = _with_partners(docs, one, max(LEAST_RANGES, total // RANGE_ENTRIES), words)
+    release(spark)
+    sets = _peeled_sets(docs, left, words)
+    n = sets.agg(F.sum(F.size("features")).alias("n")).first()["n"] or 0
+    labels = linked_components(runs(sets, max(LEAST_RANGES, 3 * n // RANGE_ENTRIES)), sets)
+    linked = _named(left, labels) if labels is not None else left.select("class", F.col("least").alias("component")).limit(0)
+    # Only classes of several documents or with links need a name: for others it is their own document's.
+    name = F.coalesce("component", "least")
+    names = one.join(linked, "class", "left").where("copies > 1 or component is not null").select("class", name.alias("name"))
+    member = every.join(small(cut(names)), "class", "left")
+    return member.select("doc_id", "n_shingles", F.coalesce("name", "doc_id").alias("component_id"))
+
+
+def _with_partners(docs: DataFrame, one: DataFrame, ranges: int, words: int) -> DataFrame:
+    """class, least, rep (a number): the classes that may have links, by the features of step 1."""
     shared = shared_features(docs, ranges, words)
     none = F.coalesce("shared", F.lit(0))
-    left = one.join(shared, "short", "left").where((F.col("counted") - none) * DEN <= F.col("n") * (DEN - NUM)).select("rep", "class")
-    left = cut(left)
-    few = F.broadcast(left) if left.count() <= BROADCAST_ROWS else left
-    sets = cut(feature_sets(docs.join(few, few["rep"] == docs["doc_id"]).select("rep", "text", "class"), words).dropDuplicates(["rep"]))
-    every_set = sets
+    able = one.withColumn("short", _short_column(F.col("class"))).join(shared, "short", "left")
+    return cut(numbered(able.where((F.col("counted") - none) * DEN <= F.col("n") * (DEN - NUM)).select("class", "least"), "rep"))
+
+
+def _peeled_sets(docs: DataFrame, left: DataFrame, words: int) -> DataFrame:
+    """rep, features, sketch, bands of the sets that may still have links after all rounds of peeling."""
+    few = small(left)
+    sets = cut(feature_sets(docs.join(few, few["least"] == docs["doc_id"]).select("rep", "text", "class"), words))
+    if sets.count() > left.count():  # rows that share a doc_id and a text
+        sets = cut(sets.dropDuplicates(["rep"]))
+    every, features = sets, F.sum(F.size("features")).alias("n")
+    n = sets.agg(features).first()["n"] or 0
     for part in (COUNTED, 1 << 16, 1 << 16):
-        n = sets.agg(F.sum(F.size("features")).alias("n")).first()["n"] or 0
         alive = cut(peeled(sets, max(LEAST_RANGES, 2 * n // RANGE_ENTRIES), part))
-        small = F.broadcast(alive) if alive.count() <= BROADCAST_ROWS else alive
-        sets = every_set.drop("bands").join(small, "rep").select("rep", "features", "sketch", "bands")
-    n = sets.agg(F.sum(F.size("features")).alias("n")).first()["n"] or 0
-    run = runs(sets, max(LEAST_RANGES, 3 * n // RANGE_ENTRIES))
-    labels = linked_components(run, sets)
-    member = every.join(one.select("class", "rep"), "class", "left")
-    if labels is not None:
-        member = member.join(labels.select(F.col("node").alias("rep"), "component"), "rep", "left")
-    else:
-        member = member.withColumn("component", F.lit(None).cast("long"))
-    return member.select("doc_id", "n_shingles", F.coalesce("component", "rep", "doc_id").alias("component_id"))
+        release(docs.sparkSession)
+        sets = every.drop("bands").join(small(alive), "rep").select("rep", "features", "sketch", "bands")
+        before, n = n, sets.agg(features).first()["n"] or 0
+        if part == 1 << 16 and n >= LITTLE * before:
+            break
+    return sets
+
+
+def _named(left: DataFrame, labels: DataFrame) -> DataFrame:
+    """class, component: the least doc_id of the component that a class is in, of the classes with links."""
+    both = left.join(labels, left["rep"] == labels["node"]).select("class", "least", F.col("component").alias("_number"))
+    least = both.groupBy("_number").agg(F.min("least").alias("component"))
+    return both.select("class", "_number").join(least, "_number").select("class", "component")
 
 
 def keep_one(docs: DataFrame) -> DataFrame:

@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 #: Rows of ids (or of a few numbers) that are sent to every executor; more are joined by a shuffle.
 BROADCAST_ROWS = 500_000
+#: Bytes of strings among them at most.
+BROADCAST_BYTES = 32 << 20
 #: Bits of a row's number inside its partition, in ``monotonically_increasing_id``.
 _INSIDE = 33
 
@@ -44,9 +46,14 @@ def release(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
-def small(df: DataFrame, rows: int | None = None) -> DataFrame:
-    """``df`` with a hint to broadcast it if it has no more than ``BROADCAST_ROWS`` rows. For rows of a few numbers, already cut."""
-    return F.broadcast(df) if (df.count() if rows is None else rows) <= BROADCAST_ROWS else df
+def small(df: DataFrame) -> DataFrame:
+    """``df``, which is already cut, with a hint to broadcast it if it has at most ``BROADCAST_ROWS`` rows and ``BROADCAST_BYTES`` bytes of text."""
+    wide = [F.octet_length(f.name) for f in df.schema if f.dataType.typeName() in ("string", "binary")]
+    if any(f.dataType.typeName() in ("array", "map", "struct") for f in df.schema):
+        return df
+    size = sum((F.coalesce(F.sum(w), F.lit(0)) for w in wide), F.lit(0))
+    rows, held = df.agg(F.count("*"), size).first()
+    return F.broadcast(df) if rows <= BROADCAST_ROWS and held <= BROADCAST_BYTES else df
 
 
 def numbered(df: DataFrame, name: str) -> DataFrame:
