@@ -35,7 +35,9 @@ def main(argv: list[str] | None = None) -> int:
     from commitlens.plans import hotspots
     from commitlens.sources.git import NotARepository
 
-    spark = SparkSession.builder.appName("commitlens").config("spark.ui.enabled", "false").getOrCreate()
+    # Progress of the tasks goes to a terminal.
+    progress = str(sys.stderr.isatty()).lower()
+    spark = SparkSession.builder.appName("commitlens").config("spark.ui.enabled", "false").config("spark.ui.showConsoleProgress", progress).getOrCreate()
     try:
         print(table(hotspots.run(spark, options).collect()))
     except NotARepository as e:

@@ -5,21 +5,24 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# File extensions and their languages.
-EXTENSIONS = {"rs": "rust", "go": "go", "lua": "lua"}
+from commitlens.languages import REGISTRY
 
 
 def lang_of(path: Column) -> Column:
+    """The language of a path's extension, ``undefined`` for others and none."""
     ext = F.regexp_extract(path, r"\.([^./]+)$", 1)
     out = F.lit("undefined")
-    for e, lang in EXTENSIONS.items():
-        out = F.when(ext == e, lang).otherwise(out)
+    for lang in REGISTRY.values():
+        out = F.when(ext.isin(*lang.extensions), lang.name).otherwise(out)
     return out
 
 
 def lang_order(lang: Column) -> Column:
     """The place of a language among rows of equal frequency."""
-    return F.when(lang == "go", 0).when(lang == "rust", 1).when(lang == "lua", 2).otherwise(3)
+    out = F.lit(len(REGISTRY))
+    for k, name in enumerate(REGISTRY):
+        out = F.when(lang == name, k).otherwise(out)
+    return out
 
 
 def receiver_type(receiver: Column) -> Column:

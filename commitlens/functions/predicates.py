@@ -9,7 +9,7 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from commitlens.schema import LANGUAGES
+from commitlens.languages import REGISTRY
 
 
 def any_of(conditions: Sequence[Column]) -> Column:
@@ -45,4 +45,4 @@ def is_visible(path: Column) -> Column:
 
 
 def is_supported(lang: Column) -> Column:
-    return lang.isin(*LANGUAGES)
+    return lang.isin(*REGISTRY)

@@ -1,9 +1 @@
-"""Function extraction: an extractor for each language, by name."""
-
-from commitlens.operators.extract import go, lua, rust
-from commitlens.operators.extract.lexer import Found
-
-#: An extractor takes a file's text and gives its functions in order; it never fails on bad syntax.
-EXTRACTORS = {"go": go.functions, "rust": rust.functions, "lua": lua.functions}
-
-__all__ = ["EXTRACTORS", "Found"]
+"""Function extraction: a module for each language, on the tokens of ``lexer``."""

@@ -4,17 +4,21 @@ from __future__ import annotations
 
 import os
 
-import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from commitlens.functions import names, predicates
-from commitlens.operators.extract import EXTRACTORS
-from commitlens.schema import ELEMENTS
+from commitlens.languages import REGISTRY
+from commitlens.schema import ELEMENTS, FILES
 
 
 class NoFiles(Exception):
-    pass
+    """A set without files was asked for its functions."""
+
+
+class NotCompatible(Exception):
+    """A file of another language was added to a set."""
 
 
 def rows_of(file: str, lang: str, content: bytes | None) -> list[tuple]:
@@ -25,15 +29,17 @@ def rows_of(file: str, lang: str, content: bytes | None) -> list[tuple]:
         text = content.decode("utf-8")
     except UnicodeDecodeError:
         return [(file, lang, None, None, None, None, None, "not_utf8")]
-    return [(file, lang, f.line, f.name, f.receiver, f.capture_index, k, "ok") for k, f in enumerate(EXTRACTORS[lang](text))]
+    return [(file, lang, f.line, f.name, f.receiver, f.capture_index, k, "ok") for k, f in enumerate(REGISTRY[lang].extract(text))]
 
 
-_NAMES = [c.split()[0] for c in ELEMENTS.split(", ")]
+_KINDS = {"string": pa.string(), "long": pa.int64(), "int": pa.int32()}
+_SCHEMA = pa.schema([(c.split()[0], _KINDS[c.split()[1]]) for c in ELEMENTS.split(", ")])
 
 
-def _frame(rows: list[tuple]) -> pd.DataFrame:
-    out = pd.DataFrame(rows, columns=_NAMES)
-    return out.astype({"line": "Int64", "capture_index": "Int32", "match_ord": "Int32"})
+def _batch(rows: list[tuple]) -> pa.RecordBatch:
+    """One batch for the functions of many files."""
+    columns = zip(*rows, strict=True) if rows else [()] * len(_SCHEMA)
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _SCHEMA, strict=True)], schema=_SCHEMA)
 
 
 def scan_files(files: DataFrame, root: str, tasks: int | None = None) -> DataFrame:
@@ -49,10 +55,9 @@ def scan_files(files: DataFrame, root: str, tasks: int | None = None) -> DataFra
 
     def step(batches):
         for b in batches:
-            for path, lang in zip(b["path"], b["lang"], strict=True):
-                yield _frame(rows_of(path, lang, read(path)))
+            yield _batch([row for path, lang in zip(*(c.to_pylist() for c in b.columns), strict=True) for row in rows_of(path, lang, read(path))])
 
-    return files.where(predicates.is_supported(F.col("lang"))).select("path", "lang").repartition(n).mapInPandas(step, ELEMENTS)
+    return files.where(predicates.is_supported(F.col("lang"))).select("path", "lang").repartition(n).mapInArrow(step, ELEMENTS)
 
 
 def scan_sources(sources: DataFrame) -> DataFrame:
@@ -60,34 +65,50 @@ def scan_sources(sources: DataFrame) -> DataFrame:
 
     def step(batches):
         for b in batches:
-            for path, lang, content in zip(b["path"], b["lang"], b["content"], strict=True):
-                yield _frame(rows_of(path, lang, None if content is None else bytes(content)))
+            yield _batch([row for path, lang, content in zip(*(c.to_pylist() for c in b.columns), strict=True) for row in rows_of(path, lang, content)])
+
+    return sources.where(predicates.is_supported(F.col("lang"))).select("path", "lang", "content").mapInArrow(step, ELEMENTS)
+
 
-    return sources.where(predicates.is_supported(F.col("lang"))).select("path", "lang", "content").mapInPandas(step, ELEMENTS)
+def _named(scanned: DataFrame) -> DataFrame:
+    return scanned.where(F.col("status") == "ok").withColumn("name", names.qualified_name(F.col("receiver"), F.col("name")))
 
 
 def elements(scanned: DataFrame, exclude: tuple[str, ...] = ()) -> DataFrame:
     """file, lang, line, name of the functions, names qualified, those with an excluded term left out."""
-    named = scanned.where(F.col("status") == "ok").withColumn("name", names.qualified_name(F.col("receiver"), F.col("name")))
-    return named.where(predicates.contains_none(F.col("name"), exclude)).select("file", "lang", "line", "name", "capture_index")
-
-
-def functions_of(files: list[tuple[str, str]], lang: str, root: str = ".", exclude: tuple[str, ...] = ()) -> list[tuple[str, int, str, int]]:
-    """Without Spark, for a few files (path, lang): file, line, name, capture index.
-
-    Fails with ``NoFiles`` without files and with ``ValueError`` on a file of another language.
-    """
-    if not files:
-        raise NoFiles(lang)
-    out = []
-    for path, own in files:
-        if own != lang:
-            raise ValueError(f"{path}: not a {lang} file")
-        with open(os.path.join(root, path), "rb") as f:
-            for _, _, line, name, receiver, index, _, status in rows_of(path, lang, f.read()):
-                if status == "ok":
-                    parts = (receiver or "").split(" ")
-                    shown = name if receiver is None else f"({parts[1] if len(parts) > 1 else receiver[1:]} {name}"
-                    if not any(t in shown for t in exclude):
-                        out.append((path, line, shown, index))
-    return out
+    return _named(scanned).where(predicates.contains_none(F.col("name"), exclude)).select("file", "lang", "line", "name", "capture_index")
+
+
+def redacted(scanned: DataFrame, exclude: tuple[str, ...] = ()) -> DataFrame:
+    """lang, found, redacted: the functions that were found, and those of them that an excluded term leaves out."""
+    out = F.count(F.when(~predicates.contains_none(F.col("name"), exclude), 1))
+    return _named(scanned).groupBy("lang").agg(F.count("*").alias("found"), out.alias("redacted"))
+
+
+def problems(scanned: DataFrame) -> DataFrame:
+    """file, lang, status of the files whose text could not be read."""
+    return scanned.where(F.col("status") != "ok").select("file", "lang", "status")
+
+
+class FileSet:
+    """Files of one language, added one by one, and the terms that leave functions out."""
+
+    def __init__(self, lang: str, root: str = "."):
+        self.lang, self.root = lang, root
+        self.files: list[str] = []
+        self.exclude: tuple[str, ...] = ()
+
+    def add_file(self, path: str, lang: str) -> None:
+        """Doesn't look at the disk."""
+        if lang != self.lang:
+            raise NotCompatible(f"{path}: {lang}, not {self.lang}")
+        self.files.append(path)
+
+    def filter_name(self, term: str) -> None:
+        self.exclude += (term,)
+
+    def find_functions(self, spark: SparkSession) -> DataFrame:
+        if not self.files:
+            raise NoFiles(self.lang)
+        files = spark.createDataFrame([(p, self.lang) for p in self.files], FILES)
+        return elements(scan_files(files, self.root), self.exclude)

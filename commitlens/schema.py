@@ -5,5 +5,3 @@ FILES = "path string, lang string"
 ELEMENTS = "file string, lang string, line long, name string, receiver string, capture_index int, match_ord int, status string"
 GIT_LOG = "file string, name string, log string, status string"
 REPORT = "file string, line long, name string, frequency long"
-#: Languages in the order in which equal frequencies are listed.
-LANGUAGES = ("go", "rust", "lua")

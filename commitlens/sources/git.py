@@ -9,6 +9,7 @@ decoded with replacement. The work tree must be mounted on all executors.
 
 from __future__ import annotations
 
+import os
 import re
 import subprocess
 
@@ -38,10 +39,10 @@ def pattern_of(name: str, mode: str) -> str:
 
 
 def log_of(root: str, file: str, name: str, mode: str = "parity") -> tuple[str, str]:
-    """Log text and status: ok, no_match, untracked, bad_regex or error."""
+    """Log text and status: ok, no_match, untracked, bad_regex or error, by git's messages in its own language."""
     command = ["git", "--no-pager", "log", "--no-color", "--pretty=medium", "-L", f":{pattern_of(name, mode)}:{file.removeprefix('./')}"]
     try:
-        done = subprocess.run(command, cwd=root, capture_output=True, check=False)
+        done = subprocess.run(command, cwd=root, capture_output=True, check=False, env=os.environ | {"LC_ALL": "C"})
     except OSError:
         return "", "error"
     if not done.returncode:

@@ -1,15 +1,18 @@
 """The files of a tree as a DataFrame: ``spark.read.format("source_tree").load(root)``.
 
-Paths are relative to the root and start with ``./``. Nothing is pruned:
-hidden folders are walked, links are files and are not followed, entries that
-can't be read and paths that aren't UTF-8 are left out. Every subfolder of the
-root is a partition, its own files are another. The root must be mounted on all
-executors.
+Paths are relative to the root and start with ``./``. Hidden folders are walked,
+links are files and are not followed, entries that can't be read and paths that
+aren't UTF-8 are left out. The option ``below`` (paths, one a line) prunes: only folders
+that can hold such a path are listed. Folders are dealt out: from the root
+down, folders are opened on the driver until there are ``PARTS`` of them or
+``DEPTH`` levels are open, so that one big top folder is many tasks. The root must be
+mounted on all executors.
 """
 
 from __future__ import annotations
 
 import os
+import posixpath
 from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
@@ -47,16 +50,36 @@ def walk(root: str, folder: str, deep: bool) -> Iterator[str]:
                 pending.append(path)
 
 
+#: Folders that are a task each, at least if there are so many; levels that the driver opens for it at most.
+PARTS, DEPTH = 64, 4
+
+
+def _folders(root: str, here: str) -> list[str]:
+    try:
+        entries = [e.name for e in os.scandir(os.path.join(root, here)) if e.is_dir(follow_symlinks=False)]
+    except OSError:
+        return []
+    return sorted(f"{here}/{n}" if here else n for n in entries)
+
+
+def may_hold(folder: str, below: tuple[str, ...]) -> bool:
+    """Whether a folder ("" for the root) is at, under or above one of the paths; no paths: all may."""
+    inside = lambda a, b: b == "" or a == b or a.startswith(f"{b}/")
+    return not below or any(inside(folder, p) or inside(p, folder) for p in below)
+
+
 class TreeReader(DataSourceReader):
-    def __init__(self, root: str):
-        self.root = root
+    def __init__(self, root: str, below: tuple[str, ...]):
+        self.root, self.below = root, below
 
     def partitions(self) -> list[Folder]:
-        try:
-            below = sorted(e.name for e in os.scandir(self.root) if e.is_dir(follow_symlinks=False))
-        except OSError:
-            return [Folder("", False)]
-        return [Folder("", False), *(Folder(n, True) for n in below)]
+        shallow, deep = [""], [f for f in _folders(self.root, "") if may_hold(f, self.below)]
+        for _ in range(DEPTH):
+            if len(deep) >= PARTS or not deep:
+                break
+            shallow += deep
+            deep = [f for d in deep for f in _folders(self.root, d) if may_hold(f, self.below)]
+        return [*(Folder(f, False) for f in shallow), *(Folder(f, True) for f in deep)]
 
     def read(self, partition: Folder) -> Iterator[tuple[str]]:
         for path in walk(self.root, partition.path, partition.deep):
@@ -72,13 +95,16 @@ class TreeSource(DataSource):
         return "path string"
 
     def reader(self, schema) -> TreeReader:
-        return TreeReader(self.options["path"])
+        return TreeReader(self.options["path"], tuple(p for p in self.options.get("below", "").split("\n") if p))
 
 
 def scan(spark: SparkSession, root: str, prefixes=(), not_contains=()) -> DataFrame:
     """path, lang of the visible files that pass the path filters."""
     spark.dataSource.register(TreeSource)
     path = F.col("path")
-    files = spark.read.format("source_tree").load(os.path.abspath(root))
+    # What a prefix may match, without the ./ in front; one that is above everything prunes nothing.
+    below = [posixpath.normpath(p) for p in prefixes]
+    reader = spark.read.format("source_tree").option("below", "" if "." in below or "" in prefixes else "\n".join(below))
+    files = reader.load(os.path.abspath(root))
     files = files.where(predicates.has_prefix(path, prefixes)).where(predicates.contains_none(path, not_contains)).where(predicates.is_visible(path))
     return files.withColumn("lang", names.lang_of(path))

@@ -1,11 +1,12 @@
 import pytest
+from pyspark.sql import functions as F
 
 from commitlens.operators import scan
-from commitlens.operators.extract import EXTRACTORS
+from commitlens.languages import REGISTRY, register, supported
 
 
 def got(lang, text):
-    return [(f.line, f.name) for f in EXTRACTORS[lang](text)]
+    return [(f.line, f.name) for f in REGISTRY[lang].extract(text)]
 
 
 RUST = {
@@ -54,25 +55,40 @@ def test_extract(lang, case):
 
 def test_go_receivers():
     text = "package p\ntype x struct{}\nfunc (x) A() {}\nfunc (*x) B() {\n\tn := func() {}\n}\nfunc (f *x) C() {}\n"
-    assert [(f.line, f.name, f.receiver, f.capture_index) for f in EXTRACTORS["go"](text)] == [
+    assert [(f.line, f.name, f.receiver, f.capture_index) for f in REGISTRY["go"].extract(text)] == [
         (3, "A", "(x)", 1), (4, "B", "(*x)", 1), (5, "n", None, 1), (7, "C", "(f *x)", 1)]
 
 
-@pytest.mark.parametrize("lang", EXTRACTORS)
+@pytest.mark.parametrize("lang", REGISTRY)
 @pytest.mark.parametrize("text", ["", "\n", "((((", "}}}}", "func", "fn", "function", "func (", "let x =", "local", "'", '"', "/*", "--[[", "func a(", "a.b =", "é ß", "\0"])
 def test_broken_text_never_fails(lang, text):
     assert got(lang, text) in ([], [(1, "a")])
 
 
-def test_functions_of(tmp_path):
+def test_file_set(spark, tmp_path):
     (tmp_path / "a.rs").write_text("fn a() {}\nfn skip_me() {}\n")
     (tmp_path / "b.rs").write_text("fn b() {}\n")
-    files = [("a.rs", "rust"), ("b.rs", "rust")]
-    assert scan.functions_of(files, "rust", str(tmp_path), ("skip",)) == [("a.rs", 1, "a", 0), ("b.rs", 1, "b", 0)]
+    files = scan.FileSet("rust", str(tmp_path))
     with pytest.raises(scan.NoFiles):
-        scan.functions_of([], "rust")
-    with pytest.raises(ValueError):
-        scan.functions_of([("missing.go", "go")], "rust")
+        files.find_functions(spark)
+    files.add_file("a.rs", "rust")
+    files.add_file("b.rs", "rust")
+    with pytest.raises(scan.NotCompatible):
+        files.add_file("missing.go", "go")
+    files.filter_name("skip")
+    assert sorted((r.file, r.line, r.name, r.capture_index) for r in files.find_functions(spark).collect()) == [("a.rs", 1, "a", 0), ("b.rs", 1, "b", 0)]
+
+
+def test_a_language_is_added_in_one_place(spark, monkeypatch):
+    from commitlens.functions import names
+    from commitlens.operators.extract.lexer import Found
+
+    monkeypatch.setitem(REGISTRY, "shell", None)
+    register("shell", ("sh", "bash"), lambda text: [Found(k + 1, x.split("(")[0]) for k, x in enumerate(text.split("\n")) if "()" in x])
+    df = spark.createDataFrame([("a.sh", b"f() {\n}\ng() { :; }"), ("b.bash", b""), ("c.zsh", b"h() {}")], "path string, content binary")
+    df = df.withColumn("lang", names.lang_of(F.col("path")))
+    assert supported("shell") and not supported("zsh")
+    assert sorted((r.file, r.line, r.name) for r in scan.elements(scan.scan_sources(df)).collect()) == [("a.sh", 1, "f"), ("a.sh", 3, "g")]
 
 
 def test_scan_sources(spark):
@@ -81,3 +97,5 @@ def test_scan_sources(spark):
     assert {(r.file, r.status) for r in scanned.collect()} == {("m.go", "ok"), ("bad.rs", "not_utf8"), ("none.lua", "unreadable")}
     assert sorted((r.file, r.line, r.name, r.capture_index) for r in scan.elements(scanned).collect()) == [("m.go", 2, "(*x) C", 1), ("m.go", 3, "D", 1)]
     assert [r.name for r in scan.elements(scanned, ("(*x)",)).collect()] == ["D"]
+    assert {(r.file, r.status) for r in scan.problems(scanned).collect()} == {("bad.rs", "not_utf8"), ("none.lua", "unreadable")}
+    assert [tuple(r) for r in scan.redacted(scanned, ("(*x)",)).collect()] == [("go", 2, 1)]

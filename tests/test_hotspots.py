@@ -48,6 +48,37 @@ def test_tree(spark, tmp_path):
     assert [r.path for r in tree.scan(spark, str(tmp_path), ["./d"], [".e", "_g"]).collect()] == ["./d/c.lua"]
 
 
+def test_folders_are_dealt_out_and_pruned(tmp_path):
+    for k in range(40):
+        (tmp_path / f"big/sub{k}/deep").mkdir(parents=True)
+        (tmp_path / f"big/sub{k}/deep/f.go").write_text("")
+        (tmp_path / f"big/sub{k}/g.go").write_text("")
+    (tmp_path / "other").mkdir()
+    (tmp_path / "other/x.go").write_text("")
+
+    def read(*below):
+        reader = tree.TreeReader(str(tmp_path), below)
+        parts = reader.partitions()
+        return parts, [p for part in parts for (p,) in reader.read(part)]
+
+    parts, paths = read()
+    assert len(parts) > 40 and len(paths) == len(set(paths)) == 81
+    parts, paths = read("big/sub3/deep")
+    assert {p for p in paths} == {"./big/sub3/g.go", "./big/sub3/deep/f.go"} and all(tree.may_hold(p.path, ("big/sub3/deep",)) for p in parts)
+    assert not tree.may_hold("big/sub33", ("big/sub3",)) and tree.may_hold("", ("a",)) and tree.may_hold("a/b", ("a",))
+
+
+def test_messages(spark, repo, caplog):
+    with caplog.at_level("DEBUG", logger="commitlens"):
+        hotspots.run(spark, ReportOptions(root=str(repo), exclude_func=("two",)))
+    said = caplog.text
+    assert "./bad.rs: not_utf8" in said and "./gone.rs: unreadable" in said and "rust: 2 functions, 1 left out by name" in said and "files listed in" in said
+    caplog.clear()
+    with caplog.at_level("ERROR", logger="commitlens"):
+        hotspots.run(spark, ReportOptions(root=str(repo)))
+    assert not caplog.text
+
+
 def test_report(spark, repo):
     rows = [tuple(r) for r in hotspots.run(spark, ReportOptions(root=str(repo))).collect()]
     assert rows == [
