@@ -47,12 +47,12 @@ def release(spark: SparkSession) -> None:
 
 
 def small(df: DataFrame) -> DataFrame:
-    """``df``, which is already cut, with a hint to broadcast it if it has at most ``BROADCAST_ROWS`` rows and ``BROADCAST_BYTES`` bytes of text."""
-    wide = [F.octet_length(f.name) for f in df.schema if f.dataType.typeName() in ("string", "binary")]
-    if any(f.dataType.typeName() in ("array", "map", "struct") for f in df.schema):
+    """``df``, which is already cut, with a hint to broadcast it if it has at most ``BROADCAST_ROWS`` rows and ``BROADCAST_BYTES`` bytes in strings and lists."""
+    kinds = {f.name: f.dataType.typeName() for f in df.schema}
+    if {"map", "struct"} & set(kinds.values()):
         return df
-    size = sum((F.coalesce(F.sum(w), F.lit(0)) for w in wide), F.lit(0))
-    rows, held = df.agg(F.count("*"), size).first()
+    wide = [F.octet_length(n) for n, k in kinds.items() if k in ("string", "binary")] + [8 * F.size(n) for n, k in kinds.items() if k == "array"]
+    rows, held = df.agg(F.count("*"), sum((F.coalesce(F.sum(w), F.lit(0)) for w in wide), F.lit(0))).first()
     return F.broadcast(df) if rows <= BROADCAST_ROWS and held <= BROADCAST_BYTES else df
 
 
