@@ -16,4 +16,10 @@ QUERIES = {
     "op9_decontaminate": decontaminate.op9,
     "op10_secret_scan": secretscan.op10,
 }
-ORACLE_SQL = {"op1_mixture": mixture.OP1_SQL, "op2_jaccard_join": jaccardjoin.OP2_SQL, "op4_substring_dedup": substrings.OP4_SQL}
+ORACLE_SQL = {
+    "op1_mixture": mixture.OP1_SQL,
+    "op2_jaccard_join": jaccardjoin.OP2_SQL,
+    "op4_substring_dedup": substrings.OP4_SQL,
+    "op6_license_scan": licensescan.OP6_SQL,
+    "op10_secret_scan": secretscan.OP10_SQL,
+}

@@ -5,14 +5,18 @@ that any match must contain (lower-cased, so one index serves rules in either
 case). Every step of a scan indexes its texts: postings of those trigrams that
 some rule asks for. A rule's candidates are the texts that satisfy its query;
 only those are searched with the expression itself. A rule without mandatory
-trigrams scans every text.
+trigrams scans every text; if it is one character class repeated, the scan for
+runs of that class goes over the whole column at once.
 
 The index is built over whole texts and lives as long as the step that made
 it, so the scan needs no shuffle, its memory is that of one step, and a lost
 executor costs the steps it had.
 
-Nulls count as empty texts, for which nothing is found. Repeated rows each get
-their own result. Spans are in code points, end exclusive.
+Nulls count as empty texts, for which nothing is found. A long text is one step
+by itself. Repeated rows each get their own result. Spans are in code points,
+end exclusive; those that start at the same place come in the rules' order. An
+empty table gives an empty result. Other columns, whatever their names, are not
+looked at.
 """
 
 from __future__ import annotations
@@ -176,14 +180,29 @@ def candidates(q: Query, index: dict[bytes, set[int]], n: int) -> set[int]:
     return set.intersection(*parts) if q[0] == "and" else set.union(*parts)
 
 
-def _scan_hex(low: np.ndarray, buf: np.ndarray, offs: np.ndarray, least: int) -> set[int]:
-    """A full scan for the rule ``hex``: the texts with a run of at least so many of its characters."""
+def run_class(pattern: re.Pattern) -> np.ndarray | None:
+    """The ASCII characters of an expression that is one of them repeated, ``[...]+``; None for others."""
+    parsed = list(_parser.parse(pattern.pattern, pattern.flags & ~re.U))
+    if pattern.flags & re.I or len(parsed) != 1 or parsed[0][0] is not C.MAX_REPEAT or parsed[0][1][1] is not C.MAXREPEAT or len(parsed[0][1][2]) != 1:
+        return None
+    op, arg = parsed[0][1][2][0]
+    out = np.zeros(256, bool)
+    for kind, value in [(op, arg)] if op is C.LITERAL else arg if op is C.IN else [(None, None)]:
+        if kind is C.LITERAL and value < 128:
+            out[value] = True
+        elif kind is C.RANGE and value[1] < 128:
+            out[value[0] : value[1] + 1] = True
+        else:
+            return None
+    return out
+
+
+def _with_runs(buf: np.ndarray, offs: np.ndarray, chars: np.ndarray, least: int) -> set[int]:
+    """A full scan for a repeated character: the texts with a run of at least so many."""
     n = int(offs[-1])
     if not n:
         return set()
-    body = buf[:n]
-    other = np.flatnonzero(~(((body >= 48) & (body <= 57)) | ((body >= 97) & (body <= 102))))
-    border = np.union1d(other, offs[1:] - 0.5) if len(offs) else other
+    border = np.union1d(np.flatnonzero(~chars[buf[:n]]), offs[1:] - 0.5)
     border = np.concatenate(([-1.0], border, [n]))
     long = border[:-1][np.diff(border) > least - 0.5]
     return set((np.searchsorted(offs, np.floor(long) + 1, side="right") - 1).tolist())
@@ -199,6 +218,7 @@ def scan(docs: DataFrame, rules=RULES, base: int = len(BASE)) -> DataFrame:
     queries = [trigram_query(r[1]) for r in rules]
     wanted = sorted(set().union(*map(_trigrams, queries)))
     kinds = [r[0] for r in rules]
+    classes = [run_class(r[1]) if q is True else None for r, q in zip(rules, queries, strict=True)]
     counts = ", ".join(f"n_{k} long" for k in kinds[:base])
 
     def step(batches):
@@ -210,7 +230,8 @@ def scan(docs: DataFrame, rules=RULES, base: int = len(BASE)) -> DataFrame:
             index = postings(low, offs, wanted)
             spans: list[list] = [[] for _ in range(n)]
             for k, (rule, q) in enumerate(zip(rules, queries, strict=True)):
-                for i in _scan_hex(low, buf, offs, rule[3]) if rule[0] == "hex" else candidates(q, index, n):
+                chars = classes[k]
+                for i in candidates(q, index, n) if chars is None else _with_runs(buf, offs, chars, rule[3]):
                     if i < n and (text := texts[i].as_py()):
                         spans[i] += [(s, k, e) for s, e, _ in _found(rule, text)]
             out_counts = [[0] * n for _ in range(base)]
@@ -231,3 +252,34 @@ def scan(docs: DataFrame, rules=RULES, base: int = len(BASE)) -> DataFrame:
 
 def op10(spark, sf_dir: str) -> DataFrame:
     return scan(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+def _sql() -> str:
+    """The scan in SQL: pieces between matches give the matches' places."""
+
+    def pattern(expression: re.Pattern) -> str:
+        # Letters in either case are spelt out where a rule doesn't mind case, as folding in SQL isn't of ASCII alone.
+        out, inside = "", False
+        for i, c in enumerate(expression.pattern):
+            inside = c == "[" or inside and c != "]"
+            plain = c.isalpha() and not inside and expression.pattern[i - 1 : i] != "\\"
+            out += f"[{c.upper()}{c.lower()}]" if plain and expression.flags & re.I and expression.pattern[i - 2 : i] != "\\x" else c
+        return out.replace("'", "''")
+
+    one = "select r, {k} as k, '{kind}' as kind, {least} as least, string_split_regex(x, '{p}') as p, regexp_extract_all(x, '{p}') as w, regexp_extract_all(x, '{p}', {group}) as g from t"
+    every = " union all ".join(one.format(k=k, kind=r[0], p=pattern(r[1]), group=r[2], least=r[3]) for k, r in enumerate(RULES))
+    counts = ", ".join(f"(count(*) filter (k = {k}))::bigint as n_{r[0]}" for k, r in enumerate(BASE))
+    said = lambda keep: f"coalesce(string_agg(kind || ':' || a || ':' || z, ',' order by a, k) filter ({keep}), '')"
+    return f"""
+with t as (select row_number() over () as r, doc_id, coalesce(text, '') as x from documents),
+m as (select r, k, kind, least, p, w, g, unnest(range(1, len(w) + 1)) as i from ({every})),
+s as (select r, k, kind, (list_sum(list_transform(p[1 : i], lambda v: length(v))) + coalesce(list_sum(list_transform(w[1 : i - 1], lambda v: length(v))), 0))::bigint as a, length(w[i]) as n
+      from m where length(g[i]) >= least),
+e as (select *, a + n as z from s),
+c as (select r, {counts}, {said(f'k < {len(BASE)}')} as base, {said('true')} as spans from e group by 1)
+select doc_id, {', '.join(f'coalesce(n_{r[0]}, 0) as n_{r[0]}' for r in BASE)}, sha256(coalesce(base, '')) as base_sha256, coalesce(spans, '') as spans
+from t left join c on t.r = c.r
+"""
+
+
+OP10_SQL = _sql()

@@ -19,7 +19,8 @@ def brute(text):
         places += at
         labels |= {label} if at else set()
     found, best = set(), 0.0
-    for line in (text or "").split("\n"):
+    lines = (text or "").split("\n")
+    for line in [*lines, text] if len(lines) > 1 else lines:
         x = words(line)
         for k in range(0, max(1, -(-(len(x) - L.BLOCK) // (L.BLOCK // 2)) + 1), 1):
             block = set(x[k * L.BLOCK // 2 : k * L.BLOCK // 2 + L.BLOCK])
@@ -64,6 +65,21 @@ def test_wrapped_notices(spark):
     assert all(want[i] in x.labels.split(",") and x.score == 1.0 for i, x in rows.items()) and len(rows) == len(docs)
 
 
+def test_long_texts_hot_rows_and_ties(spark):
+    """A notice in the middle of a very long text, on one line and wrapped; many equal rows; ids of another kind, null ones, clashing columns."""
+    notice = L.TEMPLATES[5][0]
+    long = "w " * 50_000 + notice + " w" * 50_000
+    rows = [("a", long), ("b", long.replace(" ", "\n")), (None, notice), (None, None)] + [("c", notice)] * 300
+    df = spark.createDataFrame(rows, "doc_id string, text string").selectExpr("*", "1 as row", "2 as held", "3 as blocks", "4 as flat")
+    out = L.scan(df).collect()
+    assert len(out) == len(rows) and all(x.labels == ("mit" if x.n_words else "") for x in out) and {x.n_words for x in out} == {0, 20, 100_020}
+
+
+def test_templates_tell_labels_apart():
+    assert max(len(t.split()) for t, _ in L.TEMPLATES) <= L.BLOCK // 2
+    assert not [(a, b) for text, a in L.TEMPLATES for b, tokens, need in L._needs() if a != b and len(set(text.split()) & set(tokens)) >= need]
+
+
 def test_native_plan(spark):
     df = spark.createDataFrame([(1, "mit license")], "doc_id long, text string")
     assert not re.search("Python|Pandas|Arrow", L.scan(df)._jdf.queryExecution().executedPlan().toString())
