@@ -69,8 +69,56 @@ def test_full_spaces_get_longer_surrogates(spark, monkeypatch):
     assert re.fullmatch(r"\+1 \d\d \d\d-\d{4}", spark.range(1).select(value).first().v)
 
 
+def test_one_family_stays_one(spark):
+    """Ten given names with one surname, in one text and over texts: one new surname, as many given names, of the same gender."""
+    given = pii.GIVEN["latin", "f"][:5] + pii.GIVEN["latin", "m"][:5]
+    texts = [" and ".join(f"{g} Cole" for g in given) + " met Dr. Cole and Ms. Cole; Cole left, and Xander Cole stayed. The Cole house.", "Mr. Cole wrote", "Mr. Xavier Cole"]
+    out = [t for t, _ in swap(spark, texts)]
+    pairs = re.findall(r"(\w+) (\w+)", out[0].split(" met ")[0].replace(" and ", " , "))
+    assert len(pairs) == 10 and len({b for _, b in pairs}) == 1 and len({a for a, _ in pairs}) == 10
+    new = pairs[0][1]
+    assert all(a in pii.GIVEN["latin", "f" if k < 5 else "m"] and a != given[k] for k, (a, _) in enumerate(pairs))
+    assert "Cole" not in out[0] and "Xander" not in out[0] and f"Dr. {new} and Ms. {new}; {new} left" in out[0] and f"The {new} house" in out[0]
+    assert out[1] == f"Mr. {new} wrote" and re.fullmatch(rf"Mr\. [A-Z][a-z]+ {new}", out[2]) and "Xavier" not in out[2]
+
+
+def test_untitled_names(spark):
+    texts = ["Xavier Cole came", "Name: Zed Quill", "contact is Zed Quill.", "Zed Quill", "Иван Петров", "The Quick Fox"]
+    out = swap(spark, texts)
+    assert [k for _, k in out] == [["name"], ["name"], ["name"], [], ["name"], []]
+    assert all("Cole" not in t and "Xavier" not in t for t, _ in out) and out[1][0][6:] == out[2][0][11:-1] and out[3][0] == texts[3]
+
+
+def test_mail_addresses_of_any_length_and_script(spark):
+    long = "x" * 5000
+    texts = [f"to {long}@a.org", "to josé.ñ@exämple.museum now", "-ann@x.org and ann@x.org", "иван@почта.рф", "a@" + "b." * 3000, "a." * 3000 + " @"]
+    out = swap(spark, texts)
+    assert [k for _, k in out] == [["email"], ["email"], ["email", "email"], ["email"], [], []]
+    assert "xxxxx" not in out[0][0] and len(out[0][0]) == len(texts[0]) and "josé" not in out[1][0] and "exämple" not in out[1][0] and out[1][0].endswith(".museum now")
+    a, b = re.fullmatch(r"-(\S+) and (\S+)", out[2][0]).groups()
+    assert a == b and re.fullmatch(r"[а-я]{4}@[а-я]{5}\.рф", out[3][0])
+
+
+def test_distinct_over_many_entities(spark):
+    """10,000 entities of each of some types: distinct stay distinct, and none becomes another's original."""
+    many = {
+        "email": [f"u{i}@mail{i % 7}.org" for i in range(10_000)],
+        "surname": [f"Ms. {chr(65 + i // 2600)}{chr(97 + i % 26)}{chr(97 + i // 26 % 100 % 26)}{chr(97 + i // 26 % 100 // 26)}z" for i in range(10_000)],
+        "phone": [f"+1 {200 + i // 100} 55{i % 100:02d}" for i in range(10_000)],
+    }
+    values = [v for kind in many.values() for v in dict.fromkeys(kind)]
+    out = [t for t, _ in swap(spark, [f"{v} ok" for v in values])]
+    assert len(set(out)) == len(values) > 22_000 and not set(out) & {f"{v} ok" for v in values}
+
+
+def test_given_names_are_a_permutation():
+    new = pii.given_names()
+    assert set(new) == {n for names in pii.GIVEN.values() for n in names} and all(a != b for a, b in new.items())
+    assert all({new[n] for n in names} <= set(names) for names in pii.GIVEN.values())
+
+
 def test_native_and_clashing_columns(spark):
-    df = spark.createDataFrame([(1, "to a.b@c.org", "x")], "doc_id long, text string, found string").withColumn("new", F.lit(1)).withColumn("special", F.lit(2)).withColumn("kinds", F.lit(3))
+    df = spark.createDataFrame([(1, "to a.b@c.org", "x")], "doc_id long, text string, found string").withColumn("new", F.lit(1)).withColumn("special", F.lit(2)).withColumn("pieces", F.lit(5)).withColumn("kinds", F.lit(3))
     out = pii.keep_columns(df)
     row = out.first()
     assert out.columns == df.columns and row.found == "x" and row.text != "to a.b@c.org" and row.kinds == 3
