@@ -79,3 +79,49 @@ def test_common_phrases_seed_and_the_bound_loses_nothing(spark):
             if score >= D.THRESHOLD:
                 want[d, i] = score
     assert got == want and len(want) > 150
+
+
+def run(spark, docs, items):
+    found = D.find(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
+    return {(x.doc_id, x.item_id): x.score for x in found.collect()}
+
+
+def test_short_items_are_found_whole(spark):
+    items = [(1, "cat"), (2, "Two words"), (3, "three word item"), (4, "three word item"), (5, "...")]
+    docs = [(1, "a cat sat"), (2, "two, WORDS"), (3, "a three word item here"), (4, "three word"), (5, "words two"), (6, "catalogue")]
+    assert run(spark, docs, items) == {(1, 1): 1.0, (2, 2): 1.0, (3, 3): 1.0, (3, 4): 1.0}
+
+
+def test_evenly_spread_edits(spark):
+    """Every fourth or every third word changed, at any offset."""
+    items = [(i, " ".join(f"i{i}w{k}" for k in range(30 + i))) for i in range(12)]
+    docs = [(100 * step + 20 * off + i, "pad pad " + " ".join(f"x{k}" if k % step == off else w for k, w in enumerate(t.split())) + " pad") for i, t in items for step in (3, 4) for off in range(3)]
+    got = run(spark, docs, items)
+    assert {(d, d % 20) for d, _ in docs if (30 + d % 20 - len(range(d // 20 % 5, 30 + d % 20, d // 100)) * 1.5) / (30 + d % 20) >= D.THRESHOLD} <= set(got)
+
+
+def test_recall_of_random_edits(spark):
+    """10 to 33 % of the words replaced, dropped or doubled at random: recall against alignment of all pairs."""
+    r = random.Random(8)
+    items = [(i, " ".join(f"w{r.randrange(300)}" for _ in range(r.choice([8, 15, 30, 80])))) for i in range(30)]
+    docs = []
+    for d in range(600):
+        out = []
+        rate = r.uniform(0.1, 0.33)
+        for w in r.choice(items)[1].split():
+            out += [w] if r.random() > rate else r.choice([[f"w{r.randrange(300)}"], [], [w, w]])
+        docs.append((d, " ".join([f"w{r.randrange(300)}" for _ in range(20)] + out)))
+    got = run(spark, docs, items)
+    want = set()
+    hashed = {i: D.word_hashes(pa.array([t]))[0] for i, t in items}
+    for d, text in docs:
+        h = D.word_hashes(pa.array([text]))[0]
+        want |= {(d, i) for i, own in hashed.items() if D.smith_waterman(own, h)[0] >= D.THRESHOLD * len(own)}
+    assert set(got) <= want and len(got) >= 0.9 * len(want) and len(want) > 400
+
+
+def test_long_text_hot_copies_and_repeated_items(spark):
+    item = " ".join(f"q{k}" for k in range(25))
+    docs = [(i, f"x{i} {item}") for i in range(300)] + [(900, "w " * 100_000 + item + " w" * 100_000), (901, None), (901, "")]
+    got = run(spark, docs, [(1, item), (2, item), (2, item)])
+    assert set(got) == {(d, i) for d in [*range(300), 900] for i in (1, 2)}
