@@ -2,21 +2,26 @@
 
 Sizes are words. Every source is to give its weight's part of a budget; a
 source can give at most ``max_epochs`` times its own words, and what it can't
-give is shared among the others by weight until none is above its cap. Sorted
-by cap over weight, the capped sources are a prefix, so the final level comes
-from running sums over the table of sources.
+give is shared among the others by weight until none is above its cap. This
+goes in rounds: the level (words for each unit of weight) that the open sources
+would get; those above their cap are clamped; again, until none is. A source is
+clamped if its cap is below the level, so a round's state is one number, and its
+work one aggregate over the table of sources, however many there are.
 
 A source's target is then met exactly (to the rounded word): every document
 gets the whole repetitions, and the rest goes over the source's documents in a
 seeded order until it is used up; the document it ends in is taken in part.
-The order is that of md5(seed:doc_id). Positions in it are prefix sums in two
+The order is that of md5(seed:doc_id), with a digest of the text in place of a
+null doc_id. Positions in it are prefix sums in two
 levels, over 4096 hash ranges of a source and inside each, so that a source
 with a third of all rows is no single task.
 
 Nulls: a null source is a source of its own, the last in order; a null text
-has size 0. A null doc_id is ordered after the others of its hash range, and
-repeated rows count each for itself (equal ids in the order of their sizes).
-An empty table gives an empty result. All sizes 0: targets 0.
+has size 0. Ties: rows of one place in the order go by doc_id (null last), then
+size; repeated rows count each for itself. Texts of any length count as a whole,
+in memory in proportion. An empty table gives an empty result. All sizes 0:
+targets 0. Other columns are not looked at; ``keep_taken`` returns them and
+gives its own two names that aren't taken.
 """
 
 from __future__ import annotations
@@ -25,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from commitlens.llm.shared import fresh
+from commitlens.llm.shared import cut, fresh, numbered, small
 
 #: Hex digits of md5 that name a hash range.
 RANGE_DIGITS = 3
@@ -40,41 +45,39 @@ def word_count(text: Column) -> Column:
 
 def weights(sources: DataFrame, cycle: int = 3) -> DataFrame:
     """source, source_size -> with weight: 1, 2, ... cycle, repeating in code point order, null last."""
-    rank = F.row_number().over(W.orderBy(F.col("source").asc_nulls_last()))
-    return sources.withColumn("weight", ((rank - 1) % cycle + 1).cast("long"))
+    place = "_place"
+    ranked = numbered(sources.orderBy(F.col("source").asc_nulls_last()), place)
+    return ranked.withColumn("weight", (F.col(place) % cycle + 1).cast("long")).drop(place)
 
 
 def water_fill(sources: DataFrame, max_epochs: int = 3) -> DataFrame:
-    """source, source_size, weight -> with target (double). The budget is the sum of all sizes.
-
-    One row a source: the window without partition orders that table only.
-    """
+    """source, source_size, weight -> with target (double). The budget is the sum of all sizes."""
     cap = F.col("source_size") * max_epochs
-    order = W.orderBy(cap / F.col("weight"), F.col("source").asc_nulls_last())
-    before, after = order.rowsBetween(W.unboundedPreceding, -1), order.rowsBetween(0, W.unboundedFollowing)
-    everything = order.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
-    level = (F.sum("source_size").over(everything) - F.coalesce(F.sum(cap).over(before), F.lit(0))) / F.sum("weight").over(after)
-    free = level * F.col("weight") <= cap
-    return (
-        sources.withColumn("_level", F.when(free, level))
-        .withColumn("_level", F.first("_level", ignorenulls=True).over(everything))
-        .withColumn("target", F.least(cap.cast("double"), F.coalesce(F.col("_level") * F.col("weight"), cap.cast("double"))))
-        .drop("_level")
-    )
+    level = 0.0
+    while True:
+        full = cap < F.lit(level) * F.col("weight")
+        left = F.sum("source_size") - F.coalesce(F.sum(F.when(full, cap)), F.lit(0))
+        row = sources.agg(left.alias("left"), F.sum(F.when(~full, F.col("weight"))).alias("rest")).first()
+        if not row["rest"] or row["left"] / row["rest"] <= level:
+            break
+        level = row["left"] / row["rest"]
+    target = F.least(cap.cast("double"), F.lit(level) * F.col("weight"))
+    return sources.withColumn("target", target if row["rest"] else cap.cast("double"))
 
 
 def mix(docs: DataFrame, max_epochs: int = 3, cycle: int = 3, seed: str = "mix", keep: bool = False) -> DataFrame:
     """doc_id, source, size, source_size, weight, target, repeats, taken; with ``keep`` also doc, a struct of all columns of ``docs``."""
-    at = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
+    at = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.md5(F.coalesce("text", F.lit(""))))))
     rows = docs.select(
         "doc_id", "source", word_count(F.col("text")).alias("size"), at.alias("at"), F.substring(at, 1, RANGE_DIGITS).alias("range"),
         F.coalesce(F.concat(F.lit("="), "source"), F.lit("null")).alias("key"),
         *([F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("doc")] if keep else []),
     )
-    ranges = rows.groupBy("key", "source", "range").agg(F.sum("size").alias("words"))
+    ranges = cut(rows.groupBy("key", "source", "range").agg(F.sum("size").alias("words")))
     sources = water_fill(weights(ranges.groupBy("key", "source").agg(F.sum("words").alias("source_size")), cycle), max_epochs)
     offset = F.coalesce(F.sum("words").over(W.partitionBy("key").orderBy("range").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     plan = ranges.select("key", "range", offset.alias("offset")).join(sources.drop("source"), "key")
+    plan = small(cut(plan))
     here = W.partitionBy("key", "range").orderBy("at", F.col("doc_id").asc_nulls_last(), "size").rowsBetween(W.unboundedPreceding, -1)
     full = rows.withColumn("inside", F.coalesce(F.sum("size").over(here), F.lit(0))).join(plan, ["key", "range"])
     whole = F.floor(F.col("target") / F.greatest("source_size", F.lit(1))).cast("long")
@@ -97,7 +100,7 @@ def op1(spark, sf_dir: str) -> DataFrame:
 
 OP1_SQL = r"""
 with d as (select doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::bigint as size,
-                  md5('mix:' || coalesce(doc_id::varchar, '')) as k from documents),
+                  md5('mix:' || coalesce(doc_id::varchar, md5(coalesce(text, '')))) as k from documents),
      s as (select source, sum(size)::bigint as source_size from d group by 1),
      w as (select *, ((row_number() over (order by source nulls last) - 1) % 3 + 1)::bigint as weight from s),
      o as (select *, source_size * 3 as cap,

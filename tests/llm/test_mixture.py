@@ -72,3 +72,19 @@ def test_keep_taken_with_clashing_columns(spark):
     assert out.columns == [*docs.columns, "mix_repeats", "_mix_taken"]
     rows = {x.doc_id: x for x in out.collect()}
     assert 3 not in rows and rows[1].size == "mine" and rows[1].mix_taken == 7 and rows[1].text == "a b c d"
+
+
+def test_many_sources_long_texts_and_rows_without_ids(spark):
+    """300 sources of very different sizes; a third of all rows without an id; a text of 100,000 words."""
+    r = random.Random(2)
+    docs = [(i if i % 3 else None, "w " * r.choice([1, 3, 50, 400]), f"s{r.randrange(300):03}") for i in range(900)] + [(5000, "w " * 100_000, "s000")]
+    rows = mixture.mix(frame(spark, docs)).collect()
+    sizes: dict = {}
+    for _, text, s in docs:
+        sizes[s] = sizes.get(s, 0) + words(text)
+    want, taken = brute_targets(sizes), {}
+    assert len(rows) == len(docs)
+    for x in rows:
+        assert x.target == pytest.approx(want[x.source], rel=1e-9) and 0 <= x.taken <= 3 * x.size
+        taken[x.source] = taken.get(x.source, 0) + x.taken
+    assert all(abs(n - want[s]) <= 0.5 + 1e-6 for s, n in taken.items()) and sum(want.values()) == pytest.approx(sum(sizes.values()))
