@@ -1,7 +1,9 @@
 """Language ID of mixed-language text: scripts, word scores, Viterbi.
 
-Script ranges narrow the candidates: a word's script is that of its letters
-(the last in the list of ranges where they differ), and only languages that
+Script ranges narrow the candidates. A word is a run of letters; signs of no
+script (punctuation of all blocks, typographic quotes and dashes, symbols) end
+it. Its script is that of its letters (where they differ the one that comes last in
+``SCRIPTS``), and only languages that
 use this script in at least ``SCRIPT_SHARE`` of their training letters are
 candidates for the word; without any, all are.
 
@@ -13,12 +15,20 @@ for switching between languages, labels every word; the label with the most
 letters is the text's language, and its share of the letters the score. It
 runs over all texts of a step at once, one word each at a time.
 
-Learning takes a bounded sample: about ``SAMPLE`` whole texts a language,
-picked by a hash of doc_id at a rate that follows from the language's count,
-and never a row held out. Rows whose doc_id, text or lang is null don't train.
+Learning takes a bounded sample: about ``SAMPLE`` whole texts a language, of
+``LONGEST`` bytes at most, picked by a hash of doc_id at a rate that follows from
+the language's count, and never a row held out. Rows whose doc_id, text or lang
+is null don't train.
+
+Results: ``lang_pred``, ``score`` and ``spans``, the runs of words of one label as
+``start:end:lang`` in code points, joined by commas; a span runs from its first
+word (the first one from 0) to the next span's, the last to the end.
 
 Nulls, texts without a letter and everything if nothing could be learned:
-``und``, score 0. Repeated rows each get their own result.
+``und``, score 0, no spans. Of labels with the same number of letters, and of
+equal sums in Viterbi, the first by name counts. A long text is one step by
+itself. Repeated rows each get their own result. An empty table gives an empty
+result. Other columns, whatever their names, are not looked at.
 """
 
 from __future__ import annotations
@@ -31,21 +41,25 @@ from pyspark.sql import functions as F
 
 from commitlens.llm import textkit
 
-SAMPLE = 400
+#: Bounds on the sample: texts of each language, bytes of one.
+SAMPLE, LONGEST = 400, 50_000
 SLOTS = 1 << 16
 PENALTY = 6.0
 CAP = 8.0
 SCRIPT_SHARE = 0.01
 HASH_SPACE = 1 << 30
+STEP_BYTES = 1 << 20
 
 # First code points of ranges and their scripts, from the public Unicode blocks; "" is no script.
 SCRIPTS = (
-    (0x0000, "Latin"), (0x0370, "Greek"), (0x0400, "Cyrillic"), (0x0530, "Armenian"), (0x0590, "Hebrew"), (0x0600, "Arabic"),
+    (0x0000, "Latin"), (0x0080, ""), (0x00AA, "Latin"), (0x00AB, ""), (0x00B5, "Latin"), (0x00B6, ""), (0x00BA, "Latin"), (0x00BB, ""),
+    (0x00C0, "Latin"), (0x00D7, ""), (0x00D8, "Latin"), (0x00F7, ""), (0x00F8, "Latin"),
+    (0x0370, "Greek"), (0x0400, "Cyrillic"), (0x0530, "Armenian"), (0x0590, "Hebrew"), (0x0600, "Arabic"),
     (0x0900, "Devanagari"), (0x0980, "Bengali"), (0x0B80, "Tamil"), (0x0C00, "Telugu"), (0x0E00, "Thai"), (0x10A0, "Georgian"),
     (0x1100, "Hangul"), (0x1200, "Ethiopic"), (0x1E00, "Latin"), (0x1F00, "Greek"), (0x2000, ""), (0x3040, "Kana"),
     (0x3100, "Han"), (0xAC00, "Hangul"), (0xD7B0, ""), (0xF900, "Han"), (0xFB50, "Arabic"), (0xFE70, "Arabic"), (0xFF00, ""), (0x20000, "Han"),
 )
-NAMES = sorted({s for _, s in SCRIPTS})
+NAMES = list(dict.fromkeys(s for _, s in SCRIPTS))
 _FIRST = np.array([c for c, _ in SCRIPTS])
 _ID = np.array([NAMES.index(s) for _, s in SCRIPTS], np.int8)
 
@@ -57,33 +71,31 @@ def held_out(doc_id):
 def pieces(col):
     """Of a text column in lower case: bytes, word starts and ends, words' texts, letters and scripts of each word.
 
-    Words are runs of letters: ASCII letters and bytes above 127.
+    Words are runs of letters: ASCII letters and code points above 127 that have a script.
     """
     if pa.types.is_null(col.type):
         col = col.cast(pa.string())
     buf, offs = textkit.text_buffer(pc.utf8_lower(col.fill_null("")))
     n = int(offs[-1])
     body = buf[:n]
-    ascii_letter = (body >= 97) & (body <= 122)
-    letter = np.append(ascii_letter | (body >= 128), False)
+    letter = np.append(((body >= 97) & (body <= 122)) | (body >= 128), False)
+    # Scripts of longer characters, by their lead bytes.
+    leads = np.flatnonzero(body >= 0xC0)
+    b0 = body[leads].astype(np.int32)
+    follow = [buf[leads + k].astype(np.int32) & 0x3F for k in (1, 2, 3)]
+    point = np.where(b0 < 0xE0, (b0 & 0x1F) << 6 | follow[0], np.where(b0 < 0xF0, (b0 & 0x0F) << 12 | follow[0] << 6 | follow[1], (b0 & 0x07) << 18 | follow[0] << 12 | follow[1] << 6 | follow[2]))
+    kind = _ID[np.searchsorted(_FIRST, point, side="right") - 1]
+    sign = kind == NAMES.index("")
+    for k in range(4):
+        letter[leads[sign & (k < 2 + (b0 >= 0xE0) + (b0 >= 0xF0))] + k] = False
+    leads, kind = leads[~sign], kind[~sign]
     edge = np.zeros(n + 1, bool)
     edge[offs] = True
     before = np.concatenate(([False], letter[:-1]))[:n]
     starts = np.flatnonzero(letter[:n] & (edge[:n] | ~before))
     ends = np.flatnonzero(letter[:n] & (edge[1:] | ~letter[1:])) + 1
-    # Scripts, by the lead bytes of longer characters.
-    script = np.zeros(len(starts), np.int8)
-    script[:] = NAMES.index("Latin")
-    leads = np.flatnonzero(body >= 0xC0)
-    if len(leads):
-        b0 = body[leads].astype(np.int64)
-        follow = [buf[leads + k].astype(np.int64) & 0x3F for k in (1, 2, 3)]
-        point = np.where(b0 < 0xE0, (b0 & 0x1F) << 6 | follow[0], np.where(b0 < 0xF0, (b0 & 0x0F) << 12 | follow[0] << 6 | follow[1], (b0 & 0x07) << 18 | follow[0] << 12 | follow[1] << 6 | follow[2]))
-        kind = _ID[np.searchsorted(_FIRST, point, side="right") - 1]
-        word = np.searchsorted(starts, leads, side="right") - 1
-        last = np.full(len(starts), -1, np.int8)
-        np.maximum.at(last, word, np.where(kind == NAMES.index("Latin"), -1, kind))
-        script = np.where(last >= 0, last, script)
+    script = np.full(len(starts), NAMES.index("Latin"), np.int8)
+    np.maximum.at(script, np.searchsorted(starts, leads, side="right") - 1, kind)
     count = np.concatenate(([0], np.cumsum((body & 0xC0) != 0x80)))
     return buf, starts, ends, np.searchsorted(starts, offs), count[ends] - count[starts], script
 
@@ -174,49 +186,39 @@ def viterbi(score: np.ndarray, first: np.ndarray, penalty: float = PENALTY) -> n
     return label
 
 
-def label_texts(col, model: dict) -> tuple[list[str], np.ndarray]:
-    """Language and score of each text."""
+def label_texts(col, model: dict) -> tuple[list[str], np.ndarray, list[str]]:
+    """Language, score and spans of each text."""
+    if isinstance(col, pa.ChunkedArray):
+        col = col.combine_chunks()
     buf, starts, ends, first, size, script = pieces(col)
     n = len(first) - 1
-    names, share = ["und"] * n, np.zeros(n)
+    names, share, spans = ["und"] * n, np.zeros(n), [""] * n
     if not len(starts) or not model["names"]:
-        return names, share
+        return names, share, spans
     label = viterbi(emissions(model, buf, starts, ends, script), first)
     text = np.repeat(np.arange(n), np.diff(first))
     k = len(model["names"])
     votes = np.bincount(text * k + label, size, n * k).reshape(n, k)
     total = votes.sum(1)
+    # Code points before each byte, and at each text's begin and end.
+    count = np.concatenate(([0], np.cumsum((buf[: len(buf) - 8] & 0xC0) != 0x80)))
+    length = pc.fill_null(pc.utf8_length(col.cast(pa.string()) if pa.types.is_null(col.type) else col), 0).to_numpy(zero_copy_only=False)
+    begin = np.concatenate(([0], np.cumsum(length)))[:-1]
+    cuts = np.flatnonzero(np.concatenate(([True], (label[1:] != label[:-1]) | (text[1:] != text[:-1]))))
+    owner, at, said = text[cuts], count[starts[cuts]] - begin[text[cuts]], label[cuts]
+    edge = np.searchsorted(owner, np.arange(n + 1))
     for i in np.flatnonzero(total > 0).tolist():
         names[i] = model["names"][int(votes[i].argmax())]
         share[i] = votes[i].max() / total[i]
-    # Bytes above 127 also hold signs that are no letters: look at texts without an ASCII letter one by one.
-    body = buf[: len(buf) - 8]
-    plain = np.zeros(n, bool)
-    word_plain = ((body[starts] >= 97) & (body[starts] <= 122)) | ((body[ends - 1] >= 97) & (body[ends - 1] <= 122))
-    plain[text[word_plain]] = True
-    for i in np.flatnonzero(~plain & (total > 0)).tolist():
-        if not any(c.isalpha() for c in col[i].as_py()):
-            names[i], share[i] = "und", 0.0
-    return names, share
-
-
-def spans(text: str, model: dict) -> list[tuple[int, int, str]]:
-    """Start, end (code points) and language of the spans of one text; a span runs from its first word to the next span's."""
-    col = pa.array([text], pa.string())
-    buf, starts, ends, first, _, script = pieces(col)
-    if not len(starts):
-        return []
-    label = viterbi(emissions(model, buf, starts, ends, script), first)
-    low = buf[: len(buf) - 8]
-    count = np.concatenate(([0], np.cumsum((low & 0xC0) != 0x80)))
-    cuts = [0, *(np.flatnonzero(np.diff(label)) + 1).tolist()]
-    at = [0, *(int(count[starts[c]]) for c in cuts[1:]), len(text)]
-    return [(at[i], at[i + 1], model["names"][int(label[c])]) for i, c in enumerate(cuts)]
+        a, b = edge[i], edge[i + 1]
+        places = [0, *at[a + 1 : b].tolist(), int(length[i])]
+        spans[i] = ",".join(f"{x}:{y}:{model['names'][z]}" for x, y, z in zip(places, places[1:], said[a:b].tolist(), strict=False))
+    return names, share, spans
 
 
 def fit(docs: DataFrame, per_lang: int = SAMPLE) -> dict:
     """The model from a bounded sample of ``docs``."""
-    able = docs.where("doc_id is not null and text is not null and lang is not null").where(~held_out(F.col("doc_id")))
+    able = docs.where("doc_id is not null and lang is not null").where(F.octet_length("text") <= LONGEST).where(~held_out(F.col("doc_id")))
     counts = {r["lang"]: r["n"] for r in able.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     if not counts:
         return {"names": [], "table": np.zeros((SLOTS, 0), np.float32), "allowed": np.ones((len(NAMES), 0), bool)}
@@ -225,19 +227,18 @@ def fit(docs: DataFrame, per_lang: int = SAMPLE) -> dict:
     for lang, n in counts.items():
         rate = F.when(F.col("lang") == lang, int(HASH_SPACE * min(1.0, per_lang / n))).otherwise(rate)
     rows = able.where(place < rate).select("text", "lang").toArrow()
-    if not rows.num_rows:
-        rows = able.select("text", "lang").limit(per_lang).toArrow()
     return train(rows.column("text").combine_chunks(), rows.column("lang").to_pylist())
 
 
 def predict(docs: DataFrame, model: dict) -> DataFrame:
     def step(batches):
-        for b in textkit.slices(batches):
-            names, share = label_texts(b.column(1), model)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(names, pa.string()), pa.array(share, pa.float64())], names=["doc_id", "lang_pred", "score"])
+        for b in textkit.slices(batches, limit=STEP_BYTES):
+            names, share, spans = label_texts(b.column(1), model)
+            columns = [b.column(0), pa.array(names, pa.string()), pa.array(share, pa.float64()), pa.array(spans, pa.string())]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "lang_pred", "score", "spans"])
 
-    out = docs.select("doc_id", "text").mapInArrow(step, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, lang_pred string, score double")
-    return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
+    out = docs.select("doc_id", "text").mapInArrow(step, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, lang_pred string, score double, spans string")
+    return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score", "spans")
 
 
 def op7(spark, sf_dir: str) -> DataFrame:
