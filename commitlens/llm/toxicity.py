@@ -4,8 +4,7 @@ Kernel: two words are alike by the triples of characters they share in order,
 with gaps. A word is its characters between two marks. A triple at places
 i < j < k weighs ``GAP`` for each letter and ``DIGIT_GAP`` for each digit that
 it passes over; a feature of a word is the sum over the places where the triple
-stands, and the word's features are divided by the length of the vector of all
-its triples' weights. Triples span ``SPAN`` letters at most. Digits are
+stands, and the word's features are divided by the length of their vector. Triples span ``SPAN`` letters at most. Digits are
 characters only of words without letters: inside a word they are passed over,
 almost for free, so ``i1d2i3o4t`` is nearly ``idiot``, and a letter put in
 (``idxiot``) costs a part of the triples. Words with letters and digits are
@@ -80,6 +79,8 @@ FORM_COST = 1.0
 THRESHOLD = 0.3
 HASH_SPACE = 1 << 30
 STEP_BYTES = 1 << 20
+#: Characters of different words that are looked at together.
+CHARS = 1 << 14
 #: Words whose margins a task keeps, at most.
 KNOWN = 1 << 17
 
@@ -123,6 +124,8 @@ def fit(docs: DataFrame, labels: DataFrame) -> dict:
         model = train(table.column("text"), y, {k: n / max(1, int((y == k).sum())) for k, n in counts.items()})
         numbers = [pa.array([model[k]], pa.float64()) for k in ("bias", "slope", "intercept")]
         yield pa.RecordBatch.from_arrays([pa.array([model["weights"].tobytes()], pa.binary()), *numbers], names=["weights", "bias", "slope", "intercept"])
+        del table, y
+        textkit.give_back()
 
     made = rows.coalesce(1).mapInArrow(step, "weights binary, bias double, slope double, intercept double").first()
     return _nothing() if made is None else {**made.asDict(), "weights": np.frombuffer(made["weights"], np.float32)}
@@ -207,14 +210,30 @@ def features(chars: np.ndarray, sizes: np.ndarray):
             yield owner[at], outer | code[at + b] << 6, weight
 
 
-def margins(chars: np.ndarray, sizes: np.ndarray, weights: np.ndarray) -> np.ndarray:
-    """Of each word: its features' weights, over the length of its vector of triples."""
+def merged(chars: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """word, slot and weight of the features of at most 2^14 words, each once, over the length of its word's vector; sorted by word and slot."""
     n = len(sizes)
-    dot, norm = np.zeros(n), np.zeros(n)
-    for word, slot, w in features(chars, sizes):
-        dot += np.bincount(word, weights[slot] * w, n)
-        norm += np.bincount(word, w * w, n)
-    return dot / np.sqrt(np.maximum(norm, 1e-12))
+    # One number an entry, so that a plain sort brings equal features together: word, slot, weight.
+    parts = [(word.astype(np.uint64) << np.uint64(50)) | (slot.astype(np.uint64) << np.uint64(32)) | w.view(np.uint32) for word, slot, w in features(chars, sizes)]
+    entry = np.sort(np.concatenate(parts)) if parts else np.zeros(0, np.uint64)
+    name = entry >> np.uint64(32)
+    start = np.flatnonzero(np.concatenate(([True], name[1:] != name[:-1]))) if len(name) else np.zeros(0, np.int64)
+    value = np.add.reduceat((entry & np.uint64(0xFFFFFFFF)).astype(np.uint32).view(np.float32), start) if len(name) else np.zeros(0, np.float32)
+    word, slot = (name[start] >> np.uint64(18)).astype(np.int64), (name[start] & np.uint64(SLOTS - 1)).astype(np.int64)
+    norm = np.sqrt(np.maximum(np.bincount(word, value * value, n), 1e-12)).astype(np.float32)
+    return word, slot, value / norm[word]
+
+
+def margins(chars: np.ndarray, sizes: np.ndarray, weights: np.ndarray) -> np.ndarray:
+    """Of each word its features' weights."""
+    out = np.zeros(len(sizes))
+    # So many words at a time that entries stay few, also where words are long.
+    edge = np.concatenate(([0], np.cumsum(sizes)))
+    step = np.concatenate(([0], np.flatnonzero(np.diff(edge[:-1] // CHARS)) + 1, [len(sizes)])) if len(sizes) else [0]
+    for a, z in zip(step[:-1], step[1:], strict=True):
+        word, slot, value = merged(chars[edge[a] : edge[z]], sizes[a:z])
+        out[a:z] = np.bincount(word, weights[slot] * value, z - a)
+    return out
 
 
 def read_as(word: bytes) -> list[bytes]:
@@ -284,12 +303,8 @@ def kernel(a: list[bytes], b: list[bytes]) -> np.ndarray:
 
 
 def _triples(words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """word, slot and weight of all triples, over the length of each word's vector."""
-    sizes = np.array([len(w) for w in words], np.int64)
-    parts = list(features(np.frombuffer(b"".join(words), np.uint8), sizes))
-    word, slot, value = (np.concatenate([p[k] for p in parts]) if parts else np.zeros(0, np.int64) for k in range(3))
-    norm = np.sqrt(np.maximum(np.bincount(word, value * value, len(words)), 1e-12)).astype(np.float32)
-    return word, slot, value / norm[word]
+    """word, slot and weight of the features of all words."""
+    return merged(np.frombuffer(b"".join(words), np.uint8), np.array([len(w) for w in words], np.int64))
 
 
 def disguised(word: bytes, n: int, rng: np.random.Generator) -> list[bytes]:
@@ -297,9 +312,9 @@ def disguised(word: bytes, n: int, rng: np.random.Generator) -> list[bytes]:
     out = []
     for k in range(n):
         w = word
-        for _ in range(1 + k % 3):
+        for _ in range((1, 1, 2, 1, 2, 3)[k % 6]):
             at = int(rng.integers(1, len(w)))
-            w = w[:at] + (w[at - 1 : at] if k % 6 == 5 else bytes([97 + int(rng.integers(26))])) + w[at:]
+            w = w[:at] + (w[at - 1 : at] if k % 4 == 3 else bytes([97 + int(rng.integers(26))])) + w[at:]
         out.append(w)
     return out
 
@@ -429,7 +444,7 @@ def train(texts, y: np.ndarray, stand_for: dict[int, float] | None = None, landm
         x = np.hstack((x, np.ones((len(x), 1), np.float32)))
         t = np.concatenate((np.ones(len(good) + len(forms)), -np.ones(len(parts) + len(clean))))
         n = len(clean)
-        cost = np.concatenate((n / 4 * times / times.sum(), n * FORM_COST * weigh(form_of), n / 8 * weigh(part_of), np.ones(n)))
+        cost = np.concatenate((n / 4 * times / times.sum(), n * FORM_COST * weigh(form_of), n / 5 * weigh(part_of), np.ones(n)))
         theta = _newton(x, t, cost, 1e-4 * n, np.zeros(x.shape[1]))
         weights, alpha = np.zeros(SLOTS), white @ theta[:-1]
         mw, ms, mv = _triples(marks)
