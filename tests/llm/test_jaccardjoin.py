@@ -101,3 +101,35 @@ def test_empty_null_ids_and_clashing_columns(spark):
     assert got == sorted([(1, 2, 1), (2, 2, 1), (2, 2, 1), (None, 2, 1), (5, 0, 5)], key=repr)
     kept = jaccardjoin.keep_one(df)
     assert kept.columns == df.columns and sorted(map(tuple, kept.collect()), key=repr) == sorted([rows[0], rows[3], rows[4]], key=repr)
+
+
+@pytest.mark.parametrize("kind, ids", [("long", [2**60, -1, 2**62 + 5, -(2**63), 7, 0, 2**63 - 1]), ("string", ["b", "a", "é", "B", "", "aa", "z" * 300])])
+def test_ids_of_any_kind(spark, kind, ids):
+    """The smallest id by the type's own order names a component; ids need not be small numbers."""
+    base = [f"w{k}" for k in range(40)]
+    texts = [" ".join(base), " ".join(base[:39] + ["x"]), " ".join(base), "one two", "one two", "alone it stands", None]
+    df = spark.createDataFrame(list(zip(ids, texts, strict=True)), f"doc_id {kind}, text string")
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccardjoin.groups(df).collect()}
+    least = lambda *k: min((ids[x] for x in k), key=lambda v: v.encode() if kind == "string" else v)
+    a, b = least(0, 1, 2), least(3, 4)
+    assert [got[i] for i in ids] == [(36, a), (36, a), (36, a), (1, b), (1, b), (1, ids[5]), (0, ids[6])]
+    assert {r.doc_id for r in jaccardjoin.keep_one(df).collect()} == {a, b, ids[5], ids[6]}
+
+
+def test_long_texts_and_a_hot_group(spark):
+    """Texts of 20,000 words, near copies of them, and a third of all rows in one group, half of it equal."""
+    r = random.Random(3)
+    long = [f"v{r.randrange(10**6)}" for _ in range(20_000)]
+    short = [f"s{k}" for k in range(60)]
+    docs = [(1, " ".join(long)), (2, " ".join(edited(r, long, 300))), (3, " ".join(edited(r, long, 6000)))]
+    docs += [(10 + i, " ".join(short if i % 2 else edited(r, short, 1))) for i in range(200)]
+    docs += [(1000 + i, " ".join(f"t{r.randrange(10**6)}" for _ in range(20))) for i in range(400)]
+    got = {x.doc_id: x.component_id for x in jaccardjoin.groups(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert got[1] == got[2] == 1 and got[3] == 3 and {got[10 + i] for i in range(200)} == {10} and all(got[1000 + i] == 1000 + i for i in range(400))
+
+
+def test_chunks_of_a_hub(spark, monkeypatch):
+    """Members of one hub in many chunks give the same groups."""
+    monkeypatch.setattr(jaccardjoin, "CHUNK", 2)
+    docs = corpus(7)
+    assert sorted(tuple(x) for x in jaccardjoin.groups(spark.createDataFrame(docs, "doc_id long, text string")).collect()) == brute(docs)

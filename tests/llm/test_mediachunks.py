@@ -44,6 +44,40 @@ def test_round_trip(spark):
         assert stored.setdefault(x.payload_sha256, (x.media_bytes, x.media_sha256, x.feature)) == (x.media_bytes, x.media_sha256, x.feature)
 
 
+def test_the_stored_form_alone_gives_the_payload(spark):
+    """media_bytes and media_sha256 are of a container that holds all that is needed."""
+    r = random.Random(4)
+    part = bytes(r.randrange(97, 123) for _ in range(9_000))
+    for payload in (M.text_payload("é x"), M.text_payload(None), part * 4, M.text_payload("a" * 70_000)):
+        own = M.chunks([payload])[0]
+        listed = b"".join(hashlib.sha256(c).digest() + len(c).to_bytes(4, "little") + b"\1" for c in own)
+        form = M.stored_form(listed, payload)
+        assert M.from_form(form) == payload and len(form) <= len(payload) + 40 * len(own) + 16
+    row = M.store_and_read(spark.createDataFrame([(1, "é x")], "doc_id long, text string")).first()
+    one = M.text_payload("é x")
+    form = M.stored_form(hashlib.sha256(one).digest() + len(one).to_bytes(4, "little") + b"\0", one)
+    assert (row.media_bytes, row.media_sha256) == (len(form), hashlib.sha256(form).hexdigest())
+
+
+def features_by_definition(payload, n_chunks):
+    from collections import Counter
+    from math import log2
+
+    n = Counter(payload)
+    entropy = -sum(v / len(payload) * log2(v / len(payload)) for v in n.values())
+    return f"chunks={n_chunks};min={min(payload)};max={max(payload)};mean={sum(payload) / len(payload):.4f};entropy={abs(entropy):.4f}"
+
+
+def test_features_and_the_filter(spark):
+    for payload in (b"\0" * 64, b"ab" * 100, bytes(range(256)) * 3):
+        assert M.features(payload, 2) == features_by_definition(payload, 2)
+    digests = [hashlib.sha256(bytes([k])).digest() for k in range(200)]
+    bits = M.shared_filter(spark.createDataFrame([(d,) for d in digests], "digest binary"))
+    assert len(bits) * 8 == M.LEAST_BITS
+    at = M._probes(digests, 8 * len(bits))
+    assert ((bits[at >> 3] >> (7 - (at & 7)).astype("u1")) & 1).all()
+
+
 def test_a_changed_chunk_is_noticed():
     digest = hashlib.sha256(b"abc").digest()
     with pytest.raises(ValueError):

@@ -60,5 +60,13 @@ def test_queries_are_mandatory():
     del r
 
 
+def test_a_full_scan_follows_from_the_expression_not_the_name(spark):
+    """A rule without trigrams scans all texts, whatever its name; only one repeated character class goes the quick way."""
+    rules = (("hex", re.compile(r"(?:[0-9]{3}-){2}[0-9]{4}", re.A), 0, 12), ("upper", re.compile(r"[A-Z]+", re.A), 0, 4))
+    assert S.run_class(rules[0][1]) is None and S.run_class(rules[1][1]).sum() == 26 and S.run_class(re.compile("[^a]+")) is None and S.run_class(re.compile("[a-z]+", re.I)) is None
+    df = spark.createDataFrame([(1, "call 555-123-4567 ABCD"), (2, "f" * 40), (3, "ABC")], "doc_id long, text string")
+    assert {x.doc_id: x.spans for x in S.scan(df, rules, 1).collect()} == {1: "hex:5:17,upper:18:22", 2: "", 3: ""}
+
+
 def test_empty(spark):
     assert S.scan(spark.createDataFrame([], "doc_id long, text string")).collect() == []
