@@ -11,19 +11,24 @@ through Spark joins: a digest that several chunks have is *shared*, is kept
 once, and its body comes from the least (payload, order) among them; a chunk
 no other equals stays with its payload. Only shared bodies move to their
 digest and back. Which chunks may be shared is told to the pass that makes the
-bodies by a filter of fixed size (``FILTER_BITS``, without false negatives);
-what passes it wrongly is just stored as shared, so a full filter costs
-traffic, never a byte of the result.
+bodies by a filter without false negatives, of about 16 bits for each shared
+digest and ``MOST_BITS`` at most; what passes it wrongly is just stored as
+shared, so beyond that size it costs traffic, never a byte of the result.
 
-A payload's stored form is its ordered chunk list (``LIST_HEAD`` and per chunk
-the digest and the length), with which ``read_back`` puts the payload together
-from the chunks and checks each digest, each length and the whole length.
-Samples are 8-bit: a byte is one.
+A payload's stored form is a container: its ordered chunk list (``LIST_HEAD`` and
+for each chunk digest and length), then the body of each different chunk in the
+order in which it first comes. ``media_bytes`` and ``media_sha256`` are of these bytes.
+In the store containers share bodies. ``read_back`` puts a payload together
+from its list and the stored bodies and checks each digest, each length and the
+whole length. Samples are 8-bit: a byte is one.
 
 ``text_payload``: a text as UTF-8, followed by zero bytes up to a positive
-multiple of 64; null as empty. Rows with equal doc_id are told apart by a hash
+multiple of 64; null as empty. Payloads of any length are cut as a whole, in
+memory in proportion. Rows with equal doc_id are told apart by a hash
 of the payload; rows equal in both have the same result and come out as often
-as they went in. A null doc_id is a value like others.
+as they went in. A null doc_id is a value like others. Of equal chunks any is
+kept, as they are equal bytes. An empty table gives an empty result. Other
+columns, whatever their names, are not looked at.
 """
 
 from __future__ import annotations
@@ -42,7 +47,8 @@ from commitlens.llm.shared import cut
 LEAST, MOST, CUT_BITS = 512, 16_384, 11
 UNIT = 64
 REACH = 16
-FILTER_BITS = 1 << 24
+#: Bits of the filter for each shared digest, and in all.
+BITS_EACH, LEAST_BITS, MOST_BITS = 16, 1 << 16, 1 << 28
 #: Head of a stored list: name and version, then the unit.
 LIST_HEAD = b"CDC1" + UNIT.to_bytes(4, "little")
 _GEAR = (textkit.mix(np.arange(1, 257, dtype=np.uint64)) >> np.uint64(32)).astype(np.uint32)
@@ -127,22 +133,27 @@ def references(docs: DataFrame) -> DataFrame:
     return docs.select("text").mapInArrow(step, "payload long, place int, digest binary, size int")
 
 
-def _probes(digests: list[bytes]) -> np.ndarray:
+def _probes(digests: list[bytes], n_bits: int) -> np.ndarray:
     h = np.frombuffer(b"".join(digests), "<u8").reshape(-1, 4)
-    return (h[:, :3] % np.uint64(FILTER_BITS)).astype(np.int64)
+    return (h[:, :3] % np.uint64(n_bits)).astype(np.int64)
 
 
 def shared_filter(shared: DataFrame) -> np.ndarray:
-    """A Bloom filter of shared digests; a few tasks make one of fixed size each."""
+    """A Bloom filter of shared digests, in bytes; its size follows from their number. A few tasks make one each."""
+    n_bits = LEAST_BITS
+    n = shared.count()
+    while n_bits < min(MOST_BITS, BITS_EACH * n):
+        n_bits *= 2
 
     def step(batches):
-        bits = np.zeros(FILTER_BITS, bool)
+        bits = np.zeros(n_bits // 8, np.uint8)
         for b in batches:
             if b.num_rows:
-                bits[_probes(b.column(0).to_pylist()).reshape(-1)] = True
-        yield pa.RecordBatch.from_arrays([pa.array([np.packbits(bits).tobytes()], pa.binary())], names=["bits"])
+                at = _probes(b.column(0).to_pylist(), n_bits).reshape(-1)
+                np.bitwise_or.at(bits, at >> 3, np.uint8(128) >> (at & 7).astype(np.uint8))
+        yield pa.RecordBatch.from_arrays([pa.array([bits.tobytes()], pa.binary())], names=["bits"])
 
-    out = np.zeros(FILTER_BITS // 8, np.uint8)
+    out = np.zeros(n_bits // 8, np.uint8)
     for x in shared.select("digest").repartition(8).mapInArrow(step, "bits binary").toLocalIterator():
         out |= np.frombuffer(x["bits"], np.uint8)
     return out
@@ -157,7 +168,7 @@ def bodies(docs: DataFrame, bits: np.ndarray) -> DataFrame:
     import zstandard
 
     def maybe(digests: list[bytes]) -> np.ndarray:
-        at = _probes(digests)
+        at = _probes(digests, 8 * len(bits))
         return ((bits[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1).all(1)
 
     def step(batches):
@@ -203,9 +214,26 @@ def parse_list(listed: bytes) -> list[tuple[bytes, int, bool]]:
     return [(listed[k : k + 32], int.from_bytes(listed[k + 32 : k + 36], "little"), listed[k + 36] == 1) for k in range(0, len(listed), 37)]
 
 
-def stored_form(listed: bytes) -> bytes:
-    """The ordered chunk list as it is stored: where a chunk is kept doesn't show."""
-    return LIST_HEAD + b"".join(listed[k : k + 36] for k in range(0, len(listed), 37))
+def stored_form(listed: bytes, payload: bytes) -> bytes:
+    """The container: the ordered chunk list, then each different chunk's body. Where the store keeps a chunk doesn't show."""
+    bodies_, at = {}, 0
+    for digest, size, _ in parse_list(listed):
+        bodies_.setdefault(digest, payload[at : at + size])
+        at += size
+    return LIST_HEAD + (len(listed) // 37).to_bytes(4, "little") + b"".join([*(listed[k : k + 36] for k in range(0, len(listed), 37)), *bodies_.values()])
+
+
+def from_form(form: bytes) -> bytes:
+    """The payload of a container alone."""
+    n, at = int.from_bytes(form[len(LIST_HEAD) : len(LIST_HEAD) + 4], "little"), len(LIST_HEAD) + 4
+    listed = [(form[at + 36 * k : at + 36 * k + 32], int.from_bytes(form[at + 36 * k + 32 : at + 36 * k + 36], "little")) for k in range(n)]
+    at += 36 * n
+    bodies_: dict[bytes, bytes] = {}
+    for digest, size in listed:
+        if digest not in bodies_:
+            bodies_[digest] = form[at : at + size]
+            at += size
+    return b"".join(bodies_[digest] for digest, _ in listed)
 
 
 def read_back(listed: bytes, own: bytes, shared: dict[bytes, bytes]) -> bytes:
@@ -237,7 +265,7 @@ def store_and_read(docs: DataFrame) -> DataFrame:
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     refs = references(docs)
-    shared = refs.groupBy("digest").agg(F.count("*").alias("n")).where("n > 1")
+    shared = cut(refs.groupBy("digest").agg(F.count("*").alias("n")).where("n > 1").select("digest"))
     bits = shared_filter(shared)
     # The store: what is read from here on comes from it.
     made = cut(bodies(docs, bits))
@@ -254,6 +282,7 @@ def store_and_read(docs: DataFrame) -> DataFrame:
 
     needs = records.where("away > 0").select("payload", "list").mapInArrow(wanted, "payload long, digest binary").distinct()
     got = needs.join(store, "digest").groupBy("payload").agg(F.collect_list(F.struct("digest", "body")).alias("shared"))
+
     def assemble(batches):
         unpack = zstandard.ZstdDecompressor()
         for b in batches:
@@ -262,7 +291,7 @@ def store_and_read(docs: DataFrame) -> DataFrame:
                 payload = read_back(listed, unpack.decompress(own) if own else b"", {x["digest"]: unpack.decompress(x["body"]) for x in bodies_ or []})
                 if len(payload) % UNIT or not n_bytes <= len(payload) < n_bytes + UNIT + (not n_bytes):
                     raise ValueError("a payload differs from what was stored")
-                form, n = stored_form(listed), len(listed) // 37
+                form, n = stored_form(listed, payload), len(listed) // 37
                 row = (n_bytes, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-UNIT:]), len(form), hashlib.sha256(form).hexdigest(), features(payload, n), n)
                 for i in ids:
                     for c, v in zip(cols, (i, *row), strict=True):
