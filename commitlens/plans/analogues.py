@@ -49,8 +49,10 @@ _TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineit
 
 
 def tree_scan(spark, sf_dir):
-    """The folder of the tables as a source tree; other files in it are left out."""
-    return tree.scan(spark, sf_dir).where(F.col("path").isin(*(f"./{t}.parquet" for t in _TABLES)))
+    """The folder of the tables as a source tree; a table of several files is its folder, once; other files are left out."""
+    files = tree.scan(spark, sf_dir, [f"./{t}.parquet" for t in _TABLES])
+    tables = files.select(F.substring_index("path", "/", 2).alias("path")).distinct()
+    return tables.withColumn("lang", names.lang_of(F.col("path")))
 
 
 def lang_map(spark, sf_dir):

@@ -7,12 +7,17 @@ that can hold such a path are listed. Folders are dealt out: from the root
 down, folders are opened on the driver until there are ``PARTS`` of them or
 ``DEPTH`` levels are open, so that one big top folder is many tasks. The root must be
 mounted on all executors.
+
+``scan`` also takes a root in a store that only Spark's file systems open
+(``hdfs://``, ``viewfs://``): the driver lists it, as Spark lists the files of a table,
+and a folder that can't be listed ends the scan.
 """
 
 from __future__ import annotations
 
 import os
 import posixpath
+import re
 from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
@@ -98,13 +103,40 @@ class TreeSource(DataSource):
         return TreeReader(self.options["path"], tuple(p for p in self.options.get("below", "").split("\n") if p))
 
 
+def walk_store(spark: SparkSession, root: str, below: tuple[str, ...]) -> Iterator[str]:
+    """As ``walk`` from the root, by Spark's file systems, with the pruning of ``below``."""
+    top = spark._jvm.org.apache.hadoop.fs.Path(root)
+    store = top.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+    pending = [("", top)]
+    while pending:
+        here, at = pending.pop()
+        for e in store.listStatus(at):
+            name = e.getPath().getName()
+            path = f"{here}/{name}" if here else name
+            if not e.isDirectory():
+                yield f"./{path}"
+            elif may_hold(path, below):
+                pending.append((path, e.getPath()))
+
+
+#: A root that is a URI, and the part of one that stands before a local path.
+_URI, _LOCAL = re.compile("[A-Za-z][A-Za-z0-9+.-]*:/"), re.compile("^file:(?:///|/(?!/))")
+
+
+def _files(spark: SparkSession, root: str, below: list[str]) -> DataFrame:
+    """path of all files below the root that pruning leaves."""
+    root = _LOCAL.sub("/", root)
+    if _URI.match(root):
+        return spark.createDataFrame([(p,) for p in walk_store(spark, root, tuple(below))], "path string")
+    spark.dataSource.register(TreeSource)
+    return spark.read.format("source_tree").option("below", "\n".join(below)).load(os.path.abspath(root))
+
+
 def scan(spark: SparkSession, root: str, prefixes=(), not_contains=()) -> DataFrame:
     """path, lang of the visible files that pass the path filters."""
-    spark.dataSource.register(TreeSource)
     path = F.col("path")
     # What a prefix may match, without the ./ in front; one that is above everything prunes nothing.
     below = [posixpath.normpath(p) for p in prefixes]
-    reader = spark.read.format("source_tree").option("below", "" if "." in below or "" in prefixes else "\n".join(below))
-    files = reader.load(os.path.abspath(root))
+    files = _files(spark, root, [] if "." in below or "" in prefixes else below)
     files = files.where(predicates.has_prefix(path, prefixes)).where(predicates.contains_none(path, not_contains)).where(predicates.is_visible(path))
     return files.withColumn("lang", names.lang_of(path))
